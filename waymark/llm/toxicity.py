@@ -21,15 +21,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import each_batch, remainder, texts
+from .common import each_batch, remainder, stored, texts
 
 #: Labelled rows that are learned from, at most.
 LABELLED = 20_000
-PRIOR_SHARE = 0.01
+PRIOR_SHARE = 0.1
 BACKGROUND = -0.35
 LEAST_Z = 4.0
 LEAST_ODDS = 1.0
@@ -61,28 +62,36 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - l, b, e) for l, r, b, e, _ in stack]
 
 
+def contexts(words: list[str]) -> list[tuple[int, str]]:
+    """Each token with a hash of its neighbours: with them it counts once, so neither copies of a text nor endless repeats add to it."""
+    join = "\n".join
+    return [(xxhash.xxh3_64_intdigest(join(c)) - (1 << 63), c[1]) for c in zip(["", *words], words, [*words[1:], ""])]
+
+
 class Model:
     """Token scores, lambda, ln K and the calibration."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
+    def __init__(self, rows: list[tuple[str, int]] = ()):
         self.scores: dict[str, float] = {}
         self.scale, self.log_k, self.law = 1.0, 0.0, None
         split = [(TOKEN.findall((t or "").lower()), y) for t, y in rows]
-        contexts: list[set] = [set(), set()]  # with its neighbours, a token counts once: neither copies of a text nor endless repeats add to it
-        for words, y in split:
-            contexts[y].update(zip(["", *words], words, [*words[1:], ""]))
-        counts = [Counter(w for _, w, _ in c) for c in contexts]
-        totals = [sum(c.values()) for c in counts]
+        seen = [{c for words, y in split if y == k for c in contexts(words)} for k in (0, 1)]
+        counts = [Counter(w for _, w in c) for c in seen]
+        if self.learn([(w, counts[0][w], n) for w, n in counts[1].items()], [len(c) for c in seen]):
+            self.calibrate([self.best(words) for words, _ in split], [y for _, y in split])
+
+    def learn(self, counts, totals: list[int]) -> bool:
+        """From (token, count in clean, count in toxic text) and the sums of all tokens' counts; False if either sum is 0."""
         if not all(totals):
-            return
-        both = sum(totals)
-        for w in counts[1]:
-            prior = PRIOR_SHARE * (counts[0][w] + counts[1][w])
-            odds = [math.log((counts[y][w] + prior) / (totals[y] + PRIOR_SHARE * both - counts[y][w] - prior)) for y in (0, 1)]
-            error = math.sqrt(sum(1 / (counts[y][w] + prior) for y in (0, 1)))
+            return False
+        both, share = sum(totals), []
+        for w, *n in counts:
+            prior = PRIOR_SHARE * sum(n)
+            odds = [math.log((n[y] + prior) / (totals[y] + PRIOR_SHARE * both - n[y] - prior)) for y in (0, 1)]
+            error = math.sqrt(sum(1 / (n[y] + prior) for y in (0, 1)))
             if odds[1] - odds[0] >= max(LEAST_ODDS, LEAST_Z * error):
                 self.scores[w] = odds[1] - odds[0] - error
-        share = [(s, (counts[0][w] + 0.5) / totals[0]) for w, s in self.scores.items()]
+                share.append((self.scores[w], (n[0] + 0.5) / totals[0]))
         rest = 1 - sum(p for _, p in share)
         low, high = 1e-6, 50.0
         for _ in range(80):  # the mean step is negative, so the root is single
@@ -91,8 +100,10 @@ class Model:
             low, high = (low, mid) if grown > 1 else (mid, high)
         self.scale = low
         self.log_k = math.log(max(1e-9, sum(p for _, p in share)))
-        best = np.array([self.best(words) for words, _ in split])
-        self.law = self._calibrated(np.clip(best, *RANGE), np.array([y for _, y in split], float))
+        return True
+
+    def calibrate(self, best: list[float], toxic: list[int]) -> None:
+        self.law = self._calibrated(np.clip(best, *RANGE), np.array(toxic, float))
 
     def best(self, words: list[str], found=None) -> float:
         """The largest normalised score; without any segment that of a sum of 0, and never above 0."""
@@ -124,9 +135,32 @@ class Model:
         return 1 / (1 + math.exp(-slope * (min(max(best, RANGE[0]), RANGE[1]) - middle)))
 
 
-def train(labelled: DataFrame, most: int = LABELLED) -> Model:
-    """labelled: text and toxic (0, 1) of a bounded number of rows."""
-    return Model([(x["text"], int(x["toxic"])) for x in labelled.select("text", "toxic").limit(most).toLocalIterator()])
+def train(labelled: DataFrame) -> Model:
+    """From the rows of a sample (text, toxic). Contexts are counted and best segments scored where the rows are; the driver gets the tokens that stand out and one number for each row."""
+    rows = stored(labelled.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+
+    def count(batches):
+        for b in batches:
+            found = {(y, *c) for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()) for c in contexts(TOKEN.findall((t or "").lower()))}
+            y, context, token = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "context": pa.array(context, pa.int64()), "token": pa.array(token, pa.string())})
+
+    once = rows.mapInArrow(count, "y int, context long, token string").dropDuplicates(["y", "context", "token"])
+    counts = stored(once.groupBy("token").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")), "contexts")
+    totals = [x or 0 for x in counts.agg(F.sum("clean"), F.sum("toxic")).first()]
+    model = Model()
+    apart = F.col("toxic") * totals[0] > F.col("clean") * totals[1] * math.e ** LEAST_ODDS  # what learn() asks for before it looks at the error
+    if not model.learn(((x["token"], x["clean"], x["toxic"]) for x in counts.where(apart & (F.col("toxic") > 1)).toLocalIterator()), totals):
+        return model
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def best(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = [sent.value.best(TOKEN.findall((t or "").lower())) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"best": pa.array(x, pa.float64()), "toxic": b.column("toxic")})
+
+    got = rows.mapInArrow(each_batch(best), "best double, toxic int").toPandas()
+    model.calibrate(got["best"].to_numpy(), got["toxic"].to_numpy())
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
