@@ -114,6 +114,36 @@ def test_near_dedup_by_brute_force(spark):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in got} == {i: (find(i), len(sets[i]), find(i) == i) for i in sets}
 
 
+def test_prefixes_lose_no_link(spark, monkeypatch):
+    """Texts round one template, alike in all degrees about the threshold, with no help from hubs' neighbours."""
+    monkeypatch.setattr(near_dedup, "CHAIN_ROUNDS", 0)
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        words = [f"t{k}" for k in range(rng.choice((60, 90)))]
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"u{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {*zip(*(t.split()[k:] for k in range(3)))} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    calls = []
+    by_prefix = near_dedup._by_prefix
+    monkeypatch.setattr(near_dedup, "_by_prefix", lambda *a: calls.append(1) or by_prefix(*a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.cluster(docs(spark, rows)).collect()}
+    assert got == {i: find(i) for i in sets} and calls
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_dedup.components(links).collect()}

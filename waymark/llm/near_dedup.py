@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, as_bytes, drop, each_batch, mixed, small, stored, texts
 
 TABLES, ROWS = 12, 3
-CHAIN_ROUNDS = 4
+CHAIN_ROUNDS = 2
 _state: dict[str, object] = {}
 
 
@@ -165,6 +165,35 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.join(mixed_, "bucket"), "apart")
 
 
+def _by_prefix(apart: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
+    """Pairs (a, b) of the classes, of different components, whose prefixes allow 100 * intersection >= least * union."""
+    nodes = stored(apart.select("node", "comp", "n").distinct().join(classes.select("node", "rep"), "node"), "needed")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = _state.setdefault("hashes", WordHashes())
+        words = [raw.lower().split() for raw in as_bytes(b.column("text"))]
+        tokens = [shingle_hashes(w, width, hashes).astype(np.int64) for w in words]
+        return pa.RecordBatch.from_pydict({"node": pa.array(map(_node, words), pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    sets = texts(docs).join(small(nodes.select(F.col("rep").alias("doc_id")).distinct(), 16), "doc_id", "left_semi").mapInArrow(each_batch(run), "node long, tokens array<long>").dropDuplicates(["node"])
+    tokens = stored(sets.join(small(nodes.select("node"), 16), "node", "left_semi").select("node", F.explode("tokens").alias("token")), "tokens")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")  # what a set holds alone comes first in it and joins nothing
+    ordered = tokens.join(held, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("rare")).join(nodes, "node")
+    left = lambda n, p, m: (n - p) * (100 + least) >= (n + m) * least  # noqa: E731  enough is left of n from position p on
+    rows = ordered.select("node", "comp", "n", F.posexplode("rare").alias("k", "x"), (F.col("n") - F.size("rare")).alias("alone"))
+    rows = rows.select("node", "comp", "n", (F.col("k") + F.col("alone")).alias("p"), F.col("x")["token"].alias("token"))
+    rows = stored(rows.where(left(F.col("n"), F.col("p"), F.ceil(F.col("n") * least / 100))), "prefixes")
+    shared = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    rows = stored(rows.join(shared, "token"), "prefixes")
+    drop(tokens)
+    one = rows.where(left(F.col("n"), F.col("p"), F.col("n"))).alias("s")  # the set that isn't the larger
+    c = lambda x: F.col(x)
+    after = (c("s.n") < c("l.n")) | ((c("s.n") == c("l.n")) & (c("s.node") < c("l.node")))
+    fits = (c("s.n") * 100 >= c("l.n") * least) & left(c("s.n"), c("s.p"), c("l.n")) & left(c("l.n"), c("l.p"), c("s.n"))
+    both = one.join(rows.alias("l"), (c("s.token") == c("l.token")) & (c("s.comp") != c("l.comp")) & after & fits)
+    return both.select(F.least("s.node", "l.node").alias("a"), F.greatest("s.node", "l.node").alias("b")).distinct()
+
+
 def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links of at least `least` hundredths."""
     sig = stored(signatures(docs, width, tables, rows), "signatures")
@@ -183,10 +212,9 @@ def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABL
         if r < CHAIN_ROUNDS:
             order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(r), "node"), "node")
             pairs = apart.select(F.col("node").alias("a"), "comp", "n", F.lag("node").over(order).alias("b"), F.lag("comp").over(order).alias("cb"), F.lag("n").over(order).alias("nb")).where("b is not null and comp <> cb")
+            pairs = pairs.where(near(F.col("n"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            other = apart.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = apart.withColumnRenamed("node", "a").join(other, "bucket").where("comp < cb")
-        pairs = pairs.where(near(F.col("n"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = _by_prefix(apart, classes, docs, width, least)
         pairs = stored(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "tried")
         more = verified(pairs, classes, docs, width, least)
         tried = tried.unionAll(pairs)
