@@ -11,7 +11,9 @@ TABLES = 16, 3 in 100,000); as many tables from independent bands would need TAB
 3. In each table's bucket, every member is paired with the bucket's least member; verified links join classes
    into components. Buckets whose members then lie in one component hold no further information. In others,
    members are paired with neighbours in pseudo-random orders for CHAIN_ROUNDS, and what is then still apart is
-   compared in full, so no pair that shares a bucket stays untested unless its component is already one.
+   joined by prefix: with each set ordered from its rarest shingle on, two sets of sufficient overlap share a
+   shingle so early that enough of both is left from it on. So no link within a bucket is lost, while texts that
+   share a common passage alone meet in no rare shingle and form no pairs.
 4. Candidates are verified on full sets of shingles (not hashes of them).
 5. Components come from repeated rounds of joining each node to its least neighbour and pointer jumping.
 
