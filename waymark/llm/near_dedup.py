@@ -9,11 +9,10 @@ TABLES = 16, 3 in 100,000); as many tables from independent bands would need TAB
 1. Equal word sequences are one class; only classes go on, so exact copies cost one row each.
 2. A band that no other class shares is dropped before the tables' keys are formed.
 3. In each table's bucket, every member is paired with the bucket's least member; verified links join classes
-   into components. Buckets whose members then lie in one component hold no further information. In others,
-   members are paired with neighbours in pseudo-random orders for CHAIN_ROUNDS, and what is then still apart is
-   joined by prefix: with each set ordered from its rarest shingle on, two sets of sufficient overlap share a
-   shingle so early that enough of both is left from it on. So no link within a bucket is lost, while texts that
-   share a common passage alone meet in no rare shingle and form no pairs.
+   into components. Buckets whose members then lie in one component hold no further information. What is still
+   apart in the others is joined by prefix: with each set ordered from its rarest shingle on, two sets of
+   sufficient overlap share a shingle so early that enough of both is left from it on. So no link within a bucket
+   is lost, while texts that share a common passage alone meet in no rare shingle and form no pairs.
 4. Candidates are verified on full sets of shingles (not hashes of them).
 5. Components come from repeated rounds of joining each node to its least neighbour and pointer jumping.
 
@@ -28,13 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, drop, each_batch, mixed, small, stored, texts
 
 TABLES, ROWS = 12, 3
-CHAIN_ROUNDS = 2
 _state: dict[str, object] = {}
 
 
@@ -207,22 +205,11 @@ def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABL
     tried = stored(star.select("a", "b"), "tried")
     links = verified(tried, classes, docs, width, least)
     labels = components(links)
-    for r in range(CHAIN_ROUNDS + 1):
-        apart = _apart(buckets, labels)
-        if apart.isEmpty():
-            break
-        if r < CHAIN_ROUNDS:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(r), "node"), "node")
-            pairs = apart.select(F.col("node").alias("a"), "comp", "n", F.lag("node").over(order).alias("b"), F.lag("comp").over(order).alias("cb"), F.lag("n").over(order).alias("nb")).where("b is not null and comp <> cb")
-            pairs = pairs.where(near(F.col("n"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            pairs = _by_prefix(apart, classes, docs, width, least)
-        pairs = stored(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "tried")
-        more = verified(pairs, classes, docs, width, least)
-        tried = tried.unionAll(pairs)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = components(links)
+    apart = _apart(buckets, labels)
+    if not apart.isEmpty():
+        tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = _by_prefix(apart, classes, docs, width, least).join(tried, ["a", "b"], "left_anti")
+        labels = components(links.unionAll(verified(pairs, classes, docs, width, least)))
     names = classes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = stored(names.groupBy("root").agg(F.min("rep").alias("component")), "components")
     named = stored(names.join(least_of, "root").select("node", "component"), "named")
