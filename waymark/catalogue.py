@@ -18,7 +18,7 @@ def _stay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.sequence_costs(plans.run("pair_costs", spark, sf_dir))
+    return sequential.sequence_costs(plans.run("pair_costs", spark, sf_dir).select("u1", "s1", "u2", "s2", "i", "j", "c"))
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:

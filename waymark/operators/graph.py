@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..plans import query, step
+from ..plans import EARTH_M, query, step
+from .geo import REF
 from .trips import UNIFORM
 
 
@@ -35,36 +36,56 @@ def snap_nodes(d):
       FROM (SELECT seq, x, y, fx + ox.o AS jx, fy + oy.o AS jy FROM (SELECT seq, x, y, {d.floor('x/1000e0')} AS fx, {d.floor('y/1000e0')} AS fy FROM centred) AS f CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS ox CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS oy) AS m JOIN vertices AS v ON m.jx = v.cx AND m.jy = v.cy) AS r GROUP BY seq) AS n ON c.seq = n.seq"""
 
 
-@step("trips", "points")
+@step("trip_rows")
+def asked(d):
+    """The query set: every hundredth trip in the order of user and trip."""
+    return "SELECT uid, seg FROM (SELECT uid, seg, row_number() OVER (ORDER BY uid, seg) - 1 AS k FROM trip_rows) AS q WHERE k % 100 = 0"
+
+
+@step("trips")
+def placed(d):
+    """The points of trips in one frame, that of the corpus (as in centred)."""
+    return f"SELECT uid, seg, i, n, t, {EARTH_M}*radians(lon - {REF[0]}e0)*cos(radians({REF[1]}e0)) AS x, {EARTH_M}*radians(lat - {REF[1]}e0) AS y FROM trips"
+
+
+@step("placed", "asked")
 def pair_costs(d):
-    """Point distances between trips of one user, consecutive in time (a stated set of pairs)."""
-    return f"SELECT a.uid, a.seg AS s1, b.seg AS s2, a.i AS i, b.i AS j, a.n AS n1, b.n AS n2, a.t AS t1, b.t AS t2, {d.dist('a.x - b.x', 'a.y - b.y')} AS c FROM points AS a JOIN (SELECT uid, seg, lead(seg) OVER (PARTITION BY uid ORDER BY seg) AS nxt FROM (SELECT DISTINCT uid, seg FROM trips) AS u) AS k ON a.uid = k.uid AND a.seg = k.seg JOIN points AS b ON b.uid = k.uid AND b.seg = k.nxt"
+    """Point distances between each trip of the query set and every other trip of any user."""
+    return f"SELECT /*+ BROADCAST(a) */ a.uid AS u1, a.seg AS s1, b.uid AS u2, b.seg AS s2, a.i AS i, b.i AS j, a.n AS n1, b.n AS n2, a.t AS t1, b.t AS t2, {d.dist('a.x - b.x', 'a.y - b.y')} AS c FROM (SELECT p.* FROM placed AS p JOIN asked AS q ON p.uid = q.uid AND p.seg = q.seg) AS a JOIN placed AS b ON a.uid <> b.uid OR a.seg <> b.seg"
+
+
+@step("pair_costs")
+def aligned(d):
+    """The cells of points aligned by index, as many as the shorter trip has points."""
+    at = lambda k, n, m: f"CASE WHEN {k} = {n} - 1 THEN {m} - 1 ELSE {d.trunc(f'{k}*(({m} - 1e0)/greatest({n} - 1, 1))')} END"
+    return f"SELECT * FROM pair_costs WHERE CASE WHEN n1 <= n2 THEN j = {at('i', 'n1', 'n2')} ELSE i = {at('j', 'n2', 'n1')} END"
 
 
 @query("pair_costs")
 def dita_distance(d):
     """Half the sum of the mean row minimum and the mean column minimum."""
-    return f"SELECT r.uid, r.s1, r.s2, {d.r('0.5e0*(r.m + c.m)', 4)} AS cost FROM (SELECT uid, s1, s2, avg(m) AS m FROM (SELECT uid, s1, s2, i, min(c) AS m FROM pair_costs GROUP BY uid, s1, s2, i) AS a GROUP BY uid, s1, s2) AS r JOIN (SELECT uid, s1, s2, avg(m) AS m FROM (SELECT uid, s1, s2, j, min(c) AS m FROM pair_costs GROUP BY uid, s1, s2, j) AS b GROUP BY uid, s1, s2) AS c ON r.uid = c.uid AND r.s1 = c.s1 AND r.s2 = c.s2"
+    return f"SELECT r.u1, r.s1, r.u2, r.s2, {d.r('0.5e0*(r.m + c.m)', 4)} AS cost FROM (SELECT u1, s1, u2, s2, avg(m) AS m FROM (SELECT u1, s1, u2, s2, i, min(c) AS m FROM pair_costs GROUP BY u1, s1, u2, s2, i) AS a GROUP BY u1, s1, u2, s2) AS r JOIN (SELECT u1, s1, u2, s2, avg(m) AS m FROM (SELECT u1, s1, u2, s2, j, min(c) AS m FROM pair_costs GROUP BY u1, s1, u2, s2, j) AS b GROUP BY u1, s1, u2, s2) AS c ON r.u1 = c.u1 AND r.s1 = c.s1 AND r.u2 = c.u2 AND r.s2 = c.s2"
 
 
-@query("pair_costs")
+@query("aligned")
 def tp_distance(d):
     """The mean cost of index-aligned points."""
-    return f"SELECT uid, s1, s2, {d.r('avg(c)', 4)} AS cost FROM pair_costs WHERE i = {d.trunc('j*(n1 - 1)/greatest(n2 - 1, 1)')} GROUP BY uid, s1, s2"
+    return f"SELECT u1, s1, u2, s2, {d.r('avg(c)', 4)} AS cost FROM aligned GROUP BY u1, s1, u2, s2"
 
 
-@query("pair_costs")
+@query("aligned")
 def cyclic_time_cost(d):
     """Hours apart on the clock, and days apart in the week at 24 hours for 7."""
     hod = f"abs({d.mod('t1 - t2 + 12e0', '24e0')} - 12e0)"
     dow = f"abs({d.mod('floor(t1/24e0) - floor(t2/24e0) + 3.5e0', '7e0')} - 3.5e0)"
-    return f"SELECT uid, s1, s2, {d.r(f'avg({hod} + 24e0/7e0*{dow})')} AS cyclic, {d.r('avg(abs(t1 - t2))')} AS absolute FROM pair_costs WHERE i = j GROUP BY uid, s1, s2"
+    return f"SELECT u1, s1, u2, s2, {d.r(f'avg({hod} + 24e0/7e0*{dow})')} AS cyclic, {d.r('avg(abs(t1 - t2))')} AS absolute FROM aligned GROUP BY u1, s1, u2, s2"
 
 
-@query("pair_costs")
+@query("aligned")
 def blended_truth(d):
-    """Half spatial, half temporal cost, each scaled from its minimum to its 99th percentile and clipped."""
-    return f"SELECT uid, s1, s2, {d.r('0.5e0*' + d.clip('(s - s0)/greatest(s9 - s0, 1e-9)', '0e0', '1e0') + ' + 0.5e0*' + d.clip('(h - h0)/greatest(h9 - h0, 1e-9)', '0e0', '1e0'))} AS cost FROM (SELECT uid, s1, s2, avg(c) AS s, avg(abs(t1 - t2)) AS h FROM pair_costs GROUP BY uid, s1, s2) AS p CROSS JOIN (SELECT min(s) AS s0, {d.pct('s', 0.99)} AS s9, min(h) AS h0, {d.pct('h', 0.99)} AS h9 FROM (SELECT avg(c) AS s, avg(abs(t1 - t2)) AS h FROM pair_costs GROUP BY uid, s1, s2) AS q) AS n"
+    """Half spatial, half temporal cost, each scaled from its minimum to its 99th percentile over all pairs of the query set and clipped."""
+    per_pair = "SELECT u1, s1, u2, s2, avg(c) AS s, avg(abs(t1 - t2)) AS h FROM aligned GROUP BY u1, s1, u2, s2"
+    return f"SELECT u1, s1, u2, s2, {d.r('0.5e0*' + d.clip('(s - s0)/greatest(s9 - s0, 1e-9)', '0e0', '1e0') + ' + 0.5e0*' + d.clip('(h - h0)/greatest(h9 - h0, 1e-9)', '0e0', '1e0'))} AS cost FROM ({per_pair}) AS p CROSS JOIN (SELECT min(s) AS s0, {d.pct('s', 0.99)} AS s9, min(h) AS h0, {d.pct('h', 0.99)} AS h9 FROM ({per_pair}) AS q) AS n"
 
 
 @query("walks")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,22 +30,37 @@ def stay_points(points: DataFrame, radius_m: float = STAY_RADIUS_M, least: int =
     return points.select("uid", "seg", "i", "x", "y").groupBy("uid", "seg").applyInPandas(run, "uid long, seg long, stays long")
 
 
-def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float = 500.0) -> DataFrame:
-    """uid, s1, s2, lcrs, neterp of a grid of point costs: 1 - LCS / min length, and edit distance with real penalties."""
-
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
-        grid = p.pivot(index="i", columns="j", values="c").to_numpy()
-        a, b = grid.shape
-        lcs, erp = np.zeros(b + 1), np.arange(b + 1) * gap_m
-        for i in range(a):
-            up, old = lcs.copy(), erp.copy()
-            erp[0] = (i + 1) * gap_m
-            for j in range(b):
-                lcs[j + 1] = up[j] + 1 if grid[i, j] <= hit_m else max(up[j + 1], lcs[j])
-                erp[j + 1] = min(old[j] + grid[i, j], old[j + 1] + gap_m, erp[j] + gap_m)
-        return pd.DataFrame({"uid": [key[0]], "s1": [key[1]], "s2": [key[2]], "lcrs": [round(1 - lcs[b] / min(a, b), 6)], "neterp": [round(erp[b] / (a + b), 4)]})
-
-    return pairs.groupBy("uid", "s1", "s2").applyInPandas(run, "uid long, s1 long, s2 long, lcrs double, neterp double")
+def _recurrences(m: np.ndarray, hit_m: float, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LCS lengths and edit distances of a stack of equal-shaped grids, one step of both recurrences for all grids at once."""
+    n, a, b = m.shape
+    lcs, erp = np.zeros((n, b + 1)), np.arange(b + 1) * gap[:, None]
+    for i in range(a):
+        up, old = lcs.copy(), erp.copy()
+        erp[:, 0] = (i + 1) * gap
+        for j in range(b):
+            lcs[:, j + 1] = np.where(m[:, i, j] <= hit_m, up[:, j] + 1, np.maximum(up[:, j + 1], lcs[:, j]))
+            erp[:, j + 1] = np.minimum(np.minimum(old[:, j] + m[:, i, j], old[:, j + 1] + gap), erp[:, j] + gap)
+    return lcs[:, b], erp[:, b]
+
+
+def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None = 500.0) -> DataFrame:
+    """The keys of each pair, lcrs, neterp of its grid of point costs: 1 - LCS / min length, and edit distance with real penalties (the mean cost without gap_m)."""
+    keys = [x for x in pairs.columns if x not in ("i", "j", "c")]
+
+    def run(batches):
+        for r in batches:
+            a, b, g = r.column("a").to_numpy(), r.column("b").to_numpy(), r.column("g")
+            values, start = g.values.to_numpy(), g.offsets.to_numpy()[:-1]
+            lcrs, neterp = np.empty(len(a)), np.empty(len(a))
+            for x, y in {*zip(a.tolist(), b.tolist())}:
+                at = np.flatnonzero((a == x) & (b == y))
+                m = values[start[at][:, None] + np.arange(x * y)].reshape(-1, x, y)
+                lcs, erp = _recurrences(m, hit_m, np.full(len(at), gap_m) if gap_m is not None else m.mean((1, 2)))
+                lcrs[at], neterp[at] = np.round(1 - lcs / min(x, y), 6), np.round(erp / (x + y), 4)
+            yield pa.RecordBatch.from_arrays([*(r.column(k) for k in keys), pa.array(lcrs), pa.array(neterp)], names=[*keys, "lcrs", "neterp"])
+
+    grids = pairs.groupBy(*keys).agg((F.max("i") + 1).cast("long").alias("a"), (F.max("j") + 1).cast("long").alias("b"), F.expr("transform(array_sort(collect_list(struct(i, j, c))), x -> x.c)").alias("g"))
+    return grids.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", lcrs double, neterp double")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
