@@ -38,3 +38,13 @@ def test_every_trip_is_compared(spark):
         row = got["sequence_costs"][k]
         assert np.allclose([row["lcrs"], row["neterp"]], [1 - lcs[-1, -1] / min(m.shape), erp[-1, -1] / sum(m.shape)], atol=1e-3)
     assert all(len(x) == len(want) for x in got.values())
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_every_fix_is_in_a_window(spark, size):
+    sf = f"/root/testdata/{size}"
+    windows = plans.run("trip_windows", spark, sf).toPandas()
+    held = {(u, s, i) for u, s, a, n in zip(windows["uid"], windows["seg"], windows["start_i"], windows["n"]) for i in range(a, a + n)}
+    trips = plans.run("trips", spark, sf).select("uid", "seg", "i").toPandas()
+    assert held == {*zip(trips["uid"], trips["seg"], trips["i"])}
+    assert windows["n"].between(5, 6).all() and not windows.duplicated(["uid", "seg", "start_i"]).any()

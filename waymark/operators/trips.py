@@ -52,8 +52,10 @@ def trip_sessions(d):
 
 @query("trips")
 def trip_windows(d):
+    """Windows in strides; where the last of them ends before the trip does, one more that ends with it."""
     return f"""SELECT t.uid, t.seg, w.s AS start_i, count(*) AS n, {d.r('min(t.t)')} AS t0, {d.r('max(t.t)')} AS t1 FROM trips AS t
-      JOIN (SELECT uid, seg, {d.series(0, f'greatest(n - {MIN_LEN}, 0)', STRIDE)} AS s FROM (SELECT DISTINCT uid, seg, n FROM trips) AS k) AS w
+      JOIN (SELECT uid, seg, {d.series(0, f'greatest(n - {MIN_LEN}, 0)', STRIDE)} AS s FROM (SELECT DISTINCT uid, seg, n FROM trips) AS k
+        UNION ALL SELECT DISTINCT uid, seg, n - {MAX_LEN} AS s FROM trips WHERE n > {MAX_LEN} AND (n - {MIN_LEN}) % {STRIDE} + {MIN_LEN} > {MAX_LEN}) AS w
       ON t.uid = w.uid AND t.seg = w.seg AND t.i >= w.s AND t.i < w.s + {MAX_LEN} GROUP BY t.uid, t.seg, w.s HAVING count(*) >= {MIN_LEN}"""
 
 
