@@ -48,3 +48,42 @@ def test_every_fix_is_in_a_window(spark, size):
     trips = plans.run("trips", spark, sf).select("uid", "seg", "i").toPandas()
     assert held == {*zip(trips["uid"], trips["seg"], trips["i"])}
     assert windows["n"].between(5, 6).all() and not windows.duplicated(["uid", "seg", "start_i"]).any()
+
+
+def test_paths_of_any_length(spark):
+    from waymark.operators import sequential
+
+    chain = [(k, k + 1, 1.0) for k in range(70)] + [(100, 101, 3.0)]
+    edges = spark.createDataFrame(chain + [(b, a, w) for a, b, w in chain], "src long, dst long, w double")
+    got = {r["dst"]: r["cost"] for r in sequential.shortest_paths(edges, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert got == {k: float(k) for k in range(71)} | {100: 140.0, 101: 140.0}
+    capped = sequential.shortest_paths(edges.where("src > 60"), spark.createDataFrame([(70,)], "id long"), cap=15.0).where("dst = 100").first()
+    assert capped["cost"] == 15.0
+    with pytest.raises(ValueError):
+        sequential.shortest_paths(edges, spark.createDataFrame([(0,)], "id long"), rounds=3)
+
+
+def test_network_costs_of_trips(spark):
+    e = plans.run("induced_edges", spark, SF).toPandas()
+    n = plans.run("network_vertices", spark, SF).count()
+    d = np.where(np.eye(n, dtype=bool), 0.0, np.inf)
+    d[e["src"], e["dst"]] = e["w"]
+    for k in range(n):
+        d = np.minimum(d, d[:, k, None] + d[k])
+    d[np.isinf(d)] = 2 * d[np.isfinite(d)].max()
+    paths = catalogue.queries()["network_paths"](spark, SF).toPandas()
+    assert len(paths) == n * n and np.allclose(paths["cost"], d[paths["src"], paths["dst"]])
+    trips = {k: g.sort_values("i")["id"].to_numpy() for k, g in plans.run("passed", spark, SF).toPandas().groupby(["uid", "seg"])}
+    rows = catalogue.queries()["network_trip_costs"](spark, SF).collect()
+    assert len(rows) == len(sorted(trips)[::100]) * (len(trips) - 1)
+    for r in rows:
+        m = d[np.ix_(trips[r["u1"], r["s1"]], trips[r["u2"], r["s2"]])]
+        k = min(m.shape)
+        i, j = (np.linspace(0, x - 1, k).astype(int) for x in m.shape)
+        assert np.isclose(r["tp"], m[i, j].mean(), atol=1e-3) and np.isclose(r["dita"], (m.min(1).mean() + m.min(0).mean()) / 2, atol=1e-3)
+        gap = m.mean()
+        erp = np.add.outer(np.arange(m.shape[0] + 1), np.arange(m.shape[1] + 1)) * gap
+        for x in range(m.shape[0]):
+            for y in range(m.shape[1]):
+                erp[x + 1, y + 1] = min(erp[x, y] + m[x, y], erp[x, y + 1] + gap, erp[x + 1, y] + gap)
+        assert np.isclose(r["neterp"], erp[-1, -1] / sum(m.shape), atol=1e-3)

@@ -21,6 +21,20 @@ def _sequence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.sequence_costs(plans.run("pair_costs", spark, sf_dir).select("u1", "s1", "u2", "s2", "i", "j", "c"))
 
 
+def _network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of every pair of vertices over the induced edges."""
+    return sequential.shortest_paths(plans.run("induced_edges", spark, sf_dir), plans.run("network_vertices", spark, sf_dir))
+
+
+def _network_trip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four distances of each trip of the query set to all others over network costs: points are shared at the same vertex, and a gap costs a pair's mean."""
+    paths, b, k = _network_paths(spark, sf_dir), plans.run("passed", spark, sf_dir), plans.run("asked", spark, sf_dir)
+    a = b.join(F.broadcast(k), ["uid", "seg"]).select(F.col("uid").alias("u1"), F.col("seg").alias("s1"), "i", F.col("id").alias("src"))
+    b = b.select(F.col("uid").alias("u2"), F.col("seg").alias("s2"), F.col("i").alias("j"), F.col("id").alias("dst"))
+    cells = a.join(paths, "src").join(b, "dst").where("u1 <> u2 OR s1 <> s2").select("u1", "s1", "u2", "s2", "i", "j", F.col("cost").alias("c"))
+    return sequential.sequence_costs(cells, hit_m=1.0, gap_m=None, aligned=True)
+
+
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.synthetic(spark)
 
@@ -37,7 +51,7 @@ def _session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(plans.run, name) for name in plans.names()}
-    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows}
+    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "network_paths": _network_paths, "network_trip_costs": _network_trip_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,6 +88,12 @@ def blended_truth(d):
     return f"SELECT u1, s1, u2, s2, {d.r('0.5e0*' + d.clip('(s - s0)/greatest(s9 - s0, 1e-9)', '0e0', '1e0') + ' + 0.5e0*' + d.clip('(h - h0)/greatest(h9 - h0, 1e-9)', '0e0', '1e0'))} AS cost FROM ({per_pair}) AS p CROSS JOIN (SELECT min(s) AS s0, {d.pct('s', 0.99)} AS s9, min(h) AS h0, {d.pct('h', 0.99)} AS h9 FROM ({per_pair}) AS q) AS n"
 
 
+@step("trips", "snap_nodes")
+def passed(d):
+    """The vertices of each trip in order, consecutive repeats as one."""
+    return "SELECT uid, seg, row_number() OVER (PARTITION BY uid, seg ORDER BY i) - 1 AS i, id FROM (SELECT t.uid, t.seg, t.i, s.id, lag(s.id) OVER (PARTITION BY t.uid, t.seg ORDER BY t.i) AS p FROM trips AS t JOIN snap_nodes AS s ON t.seq = s.seq) AS q WHERE p IS NULL OR p <> id"
+
+
 @query("walks")
 def skipgram_pairs(d):
     return "SELECT a.id AS centre, b.id AS context, count(*) AS n FROM walks AS a JOIN walks AS b ON a.uid = b.uid AND b.k BETWEEN a.k - 5 AND a.k + 5 AND a.k <> b.k GROUP BY a.id, b.id"

@@ -6,6 +6,8 @@ points; everything before and after is a declarative plan.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,40 +45,65 @@ def _recurrences(m: np.ndarray, hit_m: float, gap: np.ndarray) -> tuple[np.ndarr
     return lcs[:, b], erp[:, b]
 
 
-def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None = 500.0) -> DataFrame:
-    """The keys of each pair, lcrs, neterp of its grid of point costs: 1 - LCS / min length, and edit distance with real penalties (the mean cost without gap_m)."""
+def _alignments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean cost of index-aligned points, and half the sum of the mean row and column minima, of a stack of grids."""
+    n = min(m.shape[1:])
+    i, j = (np.linspace(0, k - 1, n).astype(int) for k in m.shape[1:])
+    return m[:, i, j].mean(1), (m.min(2).mean(1) + m.min(1).mean(1)) / 2
+
+
+def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None = 500.0, aligned: bool = False) -> DataFrame:
+    """The keys of each pair, lcrs, neterp of its grid of point costs: 1 - LCS / min length, and edit distance with real penalties (the mean cost without gap_m); with `aligned` also tp and dita."""
+    names = ["lcrs", "neterp", *["tp", "dita"][: 2 * aligned]]
     keys = [x for x in pairs.columns if x not in ("i", "j", "c")]
 
     def run(batches):
         for r in batches:
             a, b, g = r.column("a").to_numpy(), r.column("b").to_numpy(), r.column("g")
             values, start = g.values.to_numpy(), g.offsets.to_numpy()[:-1]
-            lcrs, neterp = np.empty(len(a)), np.empty(len(a))
+            out = np.empty((len(names), len(a)))
             for x, y in {*zip(a.tolist(), b.tolist())}:
                 at = np.flatnonzero((a == x) & (b == y))
                 m = values[start[at][:, None] + np.arange(x * y)].reshape(-1, x, y)
                 lcs, erp = _recurrences(m, hit_m, np.full(len(at), gap_m) if gap_m is not None else m.mean((1, 2)))
-                lcrs[at], neterp[at] = np.round(1 - lcs / min(x, y), 6), np.round(erp / (x + y), 4)
-            yield pa.RecordBatch.from_arrays([*(r.column(k) for k in keys), pa.array(lcrs), pa.array(neterp)], names=[*keys, "lcrs", "neterp"])
+                out[:2, at] = np.round(1 - lcs / min(x, y), 6), np.round(erp / (x + y), 4)
+                if aligned:
+                    out[2:, at] = np.round(_alignments(m), 4)
+            yield pa.RecordBatch.from_arrays([*(r.column(k) for k in keys), *map(pa.array, out)], names=[*keys, *names])
 
     grids = pairs.groupBy(*keys).agg((F.max("i") + 1).cast("long").alias("a"), (F.max("j") + 1).cast("long").alias("b"), F.expr("transform(array_sort(collect_list(struct(i, j, c))), x -> x.c)").alias("g"))
-    return grids.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", lcrs double, neterp double")
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
-    """src, dst, cost from each source by rounds of min-plus joins, until no cost falls; each round is a join on the frontier."""
-    best = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost"))
-    e = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "w").persist()
-    total = None
-    for _ in range(rounds):
-        step = best.join(e, "dst").select("src", F.col("next").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"))
-        best = best.unionByName(step).groupBy("src", "dst").agg(F.min("cost").alias("cost")).checkpoint()
-        now = best.agg(F.sum("cost"), F.count(F.lit(1))).first()
-        if total == now:
+    return grids.mapInArrow(run, ", ".join([f"{k} long" for k in keys] + [f"{x} double" for x in names]))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed, in a folder of this machine where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waymark-"))
+    return df.checkpoint()
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None, cap: float = float("inf")) -> DataFrame:
+    """src, dst, cost from each source to every vertex: rounds of min-plus joins on the costs that fell in the round before, until none falls.
+
+    A vertex out of reach costs the lesser of cap and twice the largest finite cost. Without `rounds` the bound is the
+    number of vertices, which only a negative cycle passes; at the bound it raises.
+    """
+    e = _cut(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "w"))
+    ids = _cut(e.select("dst").union(e.select("next")).union(sources.select("id")).distinct())
+    rounds = ids.count() if rounds is None else rounds
+    best = fell = _cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost"), F.lit(0).alias("round")))
+    for n in range(1, rounds + 2):
+        step = fell.join(e, "dst").select("src", F.col("next").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(n).alias("round"))
+        best = _cut(best.unionByName(step).groupBy("src", "dst").agg(F.min(F.struct("cost", "round")).alias("m")).select("src", "dst", "m.cost", "m.round"))
+        fell = best.where(F.col("round") == n)
+        if fell.isEmpty():
             break
-        total = now
-    e.unpersist()
-    return best
+    else:
+        raise ValueError(f"costs still fall after {rounds} rounds")
+    most = best.agg(F.least(F.max("cost") * 2, F.lit(cap)).alias("fill"))
+    every = sources.select(F.col("id").alias("src")).distinct().crossJoin(ids)
+    return every.join(best.drop("round"), ["src", "dst"], "left").crossJoin(F.broadcast(most)).select("src", "dst", F.coalesce("cost", "fill").alias("cost"))
 
 
 def synthetic(spark: SparkSession, n: int = 200, n_steps: int = 40, seed: int = 7, step_m: float = 180.0, bias: float = 0.35) -> DataFrame:
