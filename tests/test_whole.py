@@ -87,3 +87,16 @@ def test_network_costs_of_trips(spark):
             for y in range(m.shape[1]):
                 erp[x + 1, y + 1] = min(erp[x, y] + m[x, y], erp[x, y + 1] + gap, erp[x + 1, y] + gap)
         assert np.isclose(r["neterp"], erp[-1, -1] / sum(m.shape), atol=1e-3)
+
+
+def test_far_fixes_find_a_vertex(spark, tmp_path):
+    rows = [(0, k) for k in range(50)] + [(u, 100 + u) for u in range(1, 30)]
+    spark.createDataFrame(rows, "user_id long, event_id long").selectExpr("*", "'view' AS event_type", "timestamp_seconds(3600 * event_id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    fixes = plans.run("centred", spark, str(tmp_path)).toPandas().sort_values("seq")
+    v = plans.run("network_vertices", spark, str(tmp_path)).toPandas().sort_values("id")
+    dd = (fixes[["x"]].to_numpy() - v["x"].to_numpy()) ** 2 + (fixes[["y"]].to_numpy() - v["y"].to_numpy()) ** 2
+    assert np.sqrt(dd.min(1)).max() > 4500 and len(v) > 1
+    own = {(a, b): k for k, a, b in zip(v["id"], v["cx"], v["cy"])}
+    want = [own.get((int(x // 1000), int(y // 1000)), int(v["id"].iloc[near])) for x, y, near in zip(fixes["x"], fixes["y"], dd.argmin(1))]
+    got = {r["seq"]: r["id"] for r in plans.run("snap_nodes", spark, str(tmp_path)).collect()}
+    assert [got[s] for s in fixes["seq"]] == want

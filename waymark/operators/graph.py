@@ -29,11 +29,32 @@ def induced_edges(d):
     return f"SELECT src, dst, {d.r('min(w)', 4)} AS w, count(*) AS passes FROM (SELECT a, b, w, CASE WHEN s = 0 THEN a ELSE b END AS src, CASE WHEN s = 0 THEN b ELSE a END AS dst FROM (SELECT lag(id) OVER o AS a, id AS b, 1000e0*{d.dist('cx - lag(cx) OVER o', 'cy - lag(cy) OVER o')} AS w FROM walks WINDOW o AS (PARTITION BY uid ORDER BY k)) AS e CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1) AS t WHERE a IS NOT NULL) AS q GROUP BY src, dst"
 
 
-@query("centred", "vertices")
+@step("centred", "vertices")
+def missed(d):
+    """Fixes in a cell without a vertex."""
+    return f"SELECT c.seq, c.x, c.y, {d.floor('c.x/1000e0')} AS fx, {d.floor('c.y/1000e0')} AS fy FROM centred AS c LEFT JOIN vertices AS v ON {d.floor('c.x/1000e0')} = v.cx AND {d.floor('c.y/1000e0')} = v.cy WHERE v.id IS NULL"
+
+
+DD = "round(power(m.x - (v.cx + 0.5e0)*1000e0, 2) + power(m.y - (v.cy + 0.5e0)*1000e0, 2), 3)"
+
+
+@step("missed", "vertices")
+def ringed(d):
+    """The nearest vertex within three cells, if it is nearer than any vertex farther off can be (3.5 cells)."""
+    return f"""SELECT seq, id FROM (SELECT seq, id, dd, row_number() OVER (PARTITION BY seq ORDER BY dd, id) AS k FROM (SELECT m.seq, v.id, {DD} AS dd
+      FROM (SELECT seq, x, y, fx + ox.o AS jx, fy + oy.o AS jy FROM missed CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS ox CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS oy) AS m JOIN vertices AS v ON m.jx = v.cx AND m.jy = v.cy) AS r) AS q WHERE k = 1 AND dd < 12250000e0"""
+
+
+@step("missed", "ringed", "vertices")
+def farther(d):
+    """The nearest of all vertices for the fixes that the rings leave over."""
+    return f"SELECT seq, id FROM (SELECT seq, id, row_number() OVER (PARTITION BY seq ORDER BY dd, id) AS k FROM (SELECT m.seq, v.id, {DD} AS dd FROM (SELECT * FROM missed AS u WHERE NOT EXISTS (SELECT 1 FROM ringed AS r WHERE r.seq = u.seq)) AS m CROSS JOIN vertices AS v) AS a) AS q WHERE k = 1"
+
+
+@query("centred", "vertices", "ringed", "farther")
 def snap_nodes(d):
-    """The vertex of a fix's cell; without one the nearest vertex within three cells."""
-    return f"""SELECT c.seq, coalesce(v.id, n.id) AS id FROM centred AS c LEFT JOIN vertices AS v ON {d.floor('c.x/1000e0')} = v.cx AND {d.floor('c.y/1000e0')} = v.cy LEFT JOIN (SELECT seq, min_by(id, dd*1e6 + id) AS id FROM (SELECT m.seq, v.id, round(power(m.x - (v.cx + 0.5e0)*1000e0, 2) + power(m.y - (v.cy + 0.5e0)*1000e0, 2), 3) AS dd
-      FROM (SELECT seq, x, y, fx + ox.o AS jx, fy + oy.o AS jy FROM (SELECT seq, x, y, {d.floor('x/1000e0')} AS fx, {d.floor('y/1000e0')} AS fy FROM centred) AS f CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS ox CROSS JOIN (SELECT {d.series(-3, 3)} AS o) AS oy) AS m JOIN vertices AS v ON m.jx = v.cx AND m.jy = v.cy) AS r GROUP BY seq) AS n ON c.seq = n.seq"""
+    """The vertex of a fix's cell; without one the nearest vertex at any distance, the lowest id at ties."""
+    return f"SELECT c.seq, coalesce(v.id, r.id, f.id) AS id FROM centred AS c LEFT JOIN vertices AS v ON {d.floor('c.x/1000e0')} = v.cx AND {d.floor('c.y/1000e0')} = v.cy LEFT JOIN ringed AS r ON c.seq = r.seq LEFT JOIN farther AS f ON c.seq = f.seq"
 
 
 @step("trip_rows")
