@@ -7,9 +7,10 @@ neighbouring words and features of the whole text. It is trained on a bounded sa
 (TRAINING of either sort, least by a hash) whose labels are the base spans; keywords are hidden from half
 of them, so shape alone must do as well.
 
-Hard constraints make the decoding exact without visiting plain prose: a secret can begin only at a token
-with a digit, or of LONG letters; it goes on only to a token that touches the one before. All other tokens are
-outside on every path, so the best path falls apart into stretches around such tokens.
+A secret can begin at any token, of any length; it goes on only to a token that touches the one before. Every
+token of a text is scored, by sums held for each distinct word. A run of touching tokens none of which gains
+more over outside than transitions can cost is outside on the best path, so that path falls apart exactly into
+stretches around the other runs, and only these are decoded.
 
 Spans are in code points, end exclusive; the field's (kind crf) come beside base ones and never overlap
 them. Null and empty texts have no spans. Without any training text the field adds nothing.
@@ -33,9 +34,10 @@ from .common import each_batch, texts
 TRAINING, STRETCHES = 400, 20
 LONG = 30
 KINDS = ("assign", "access", "hex", "crf")
-LEAST_CHARS = 12
 LEAST_MARGINAL = 0.9
 CONTEXT = 3
+#: Stretches of plain tokens that a text gives for training, and tokens in each; words of which a worker holds the sums.
+PLAIN, PLAIN_TOKENS, HELD = 4, 12, 100_000
 
 _cased = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -43,7 +45,7 @@ ASSIGN = re.compile("(" + "|".join(map(_cased, KEYWORDS)) + r")[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-#: Where a secret may begin: a token with a digit and 6 characters, or of LONG letters.
+#: What training looks at first beside base spans: a token with a digit and 6 characters, or of LONG letters.
 START = re.compile(r"(?<![A-Za-z0-9])(?:(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,}|[A-Za-z]{%d,})" % LONG)
 _STARTS = ("password", "passwd", "secret", "token", "api")
 
@@ -65,24 +67,23 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{b}:{e}" for k, b, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-def stretches(text: str) -> list[tuple[list[tuple[int, int]], int]]:
-    """Token spans around each place where a secret may begin, with CONTEXT tokens on either side; the first token after the left context."""
+def stretches(text: str, base: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """All token spans, and the ranges of them to learn from: around base spans and START matches, and PLAIN ones spread over the text."""
+    spans = [x.span() for x in TOKEN.finditer(text)]
+    starts = np.array([x for x, _ in spans])
+    touch = np.array([k > 0 and spans[k - 1][1] == x for k, (x, _) in enumerate(spans)], bool)
     out, done = [], 0
-    for m in START.finditer(text):
-        if m.start() < done:
-            continue
-        left = [x.span() for x in TOKEN.finditer(text, max(0, m.start() - 40), m.start())][-CONTEXT:]
-        inner = []
-        end = m.start()
-        for x in TOKEN.finditer(text, m.start()):
-            if x.start() > end and x.start() != m.start():
-                break
-            inner.append(x.span())
-            end = x.end()
-        right = [x.span() for x in TOKEN.finditer(text, end, end + 60)][:CONTEXT]
-        out.append(([*left, *inner, *right], len(left)))
-        done = end
-    return out
+    for at, end in sorted({*base, *(m.span() for m in START.finditer(text))}):
+        k = int(np.searchsorted(starts, at, "right")) - 1
+        j = k + 1
+        while j < len(spans) and (touch[j] or spans[j][0] < end):
+            j += 1
+        if k >= done and len(out) < STRETCHES:
+            out.append((max(0, k - CONTEXT), min(len(spans), j + CONTEXT)))
+            done = j
+    n = len(spans)
+    out += [(k, min(n, k + PLAIN_TOKENS)) for k in sorted({p * n // PLAIN for p in range(PLAIN)}) if k < n]
+    return spans, out
 
 
 def _bits(word: str) -> float:
@@ -90,22 +91,32 @@ def _bits(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in map(word.count, {*word}))
 
 
+def lowered(w: str) -> str:
+    return w.lower() if len(w) < 20 and not any(c.isdigit() for c in w) else "#"
+
+
+def own_features(w: str) -> tuple[str, list[str]]:
+    """The shape of a token, and the features that it has by itself."""
+    kinds = (any(c.islower() for c in w), any(c.isupper() for c in w), any(c.isdigit() for c in w))
+    shape = "".join(c for c, has in zip("aA0", kinds) if has) or "."
+    size = min(len(w), 48) // 4
+    found = [f"shape {shape}", f"size {size}", f"shape {shape} size {size}"]
+    if len(w) > 5:
+        found += [f"bits {int(2 * _bits(w))}", f"hex {not w.strip('0123456789abcdef')}", f"digits {4 * sum(c.isdigit() for c in w) // len(w)}"]
+    elif not w.isalnum():
+        found.append(f"mark {w if w.isascii() else 'x'}")
+    return shape, found
+
+
 def token_features(text: str, spans: list[tuple[int, int]], of_file: tuple[str, ...], hide: bool = False) -> list[list[str]]:
     words = [text[b:e] for b, e in spans]
-    low = [w.lower() if len(w) < 20 and not any(c.isdigit() for c in w) else "#" for w in words]
+    low = [lowered(w) for w in words]
     if hide:
         low = [w if not w.isalpha() else "*" for w in low]
     out = []
     for k, w in enumerate(words):
-        kinds = (any(c.islower() for c in w), any(c.isupper() for c in w), any(c.isdigit() for c in w))
-        shape = "".join(c for c, has in zip("aA0", kinds) if has) or "."
-        size = min(len(w), 48) // 4
-        found = [f"shape {shape}", f"size {size}", f"shape {shape} size {size}", f"before {low[k - 1] if k else ''}", f"before2 {low[k - 2] if k > 1 else ''}", f"after {low[k + 1] if k + 1 < len(low) else ''}", f"touches {k > 0 and spans[k - 1][1] == spans[k][0]}"]
-        if len(w) > 5:
-            found += [f"bits {int(2 * _bits(w))}", f"hex {not w.strip('0123456789abcdef')}", f"digits {4 * sum(c.isdigit() for c in w) // len(w)}"]
-        elif not w.isalnum():
-            found.append(f"mark {w if w.isascii() else 'x'}")
-        out.append(found + [f"{f} {shape}" for f in of_file])
+        shape, found = own_features(w)
+        out.append([*found, f"before {low[k - 1] if k else ''}", f"before2 {low[k - 2] if k > 1 else ''}", f"after {low[k + 1] if k + 1 < len(low) else ''}", f"touches {k > 0 and spans[k - 1][1] == spans[k][0]}"] + [f"{f} {shape}" for f in of_file])
     return out
 
 
@@ -123,8 +134,6 @@ def allowed(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """0 or -1e9 for each token and label, by the hard constraints."""
     out = np.zeros((len(spans), 3))
     for k, (b, e) in enumerate(spans):
-        if not START.match(text, b):
-            out[k, BEGIN] = -1e9
         if not k or spans[k - 1][1] != b:
             out[k, INSIDE] = -1e9
     return out
@@ -139,6 +148,45 @@ class Field:
 
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps
+        self.known, self.sums, self.of_files = {}, np.empty((0, 12)), {}
+
+    def weight(self, found: list[str]) -> np.ndarray:
+        return self.weights[[zlib.crc32(f.encode()) % BUCKETS for f in found]].sum(0)
+
+    def text_scores(self, text: str, spans: list[tuple[int, int]], words: list[str]) -> np.ndarray:
+        """The scores of all tokens of a text, as scores() of their features; what a word adds to itself and its neighbours is worked out once."""
+        new = {*words}.difference(self.known)
+        if len(self.known) + len(new) > HELD and self.known:
+            self.known, self.sums, new = {}, np.empty((0, 12)), {*words}
+        if new:
+            rows = np.empty((len(new), 12))
+            for row, w in zip(rows, new):
+                shape, found = own_features(w)
+                low = lowered(w)
+                row[:3], row[3:6], row[6:9], row[9:] = self.weight(found), self.weight([f"before {low}"]), self.weight([f"before2 {low}"]), self.weight([f"after {low}"])
+                self.known[w] = (len(self.known), shape)
+            n = len(self.known)
+            if n > len(self.sums):
+                self.sums = np.concatenate([self.sums[: n - len(new)], np.empty((n + 1024, 12))])
+            self.sums[n - len(new) : n] = rows
+        places, shapes = zip(*map(self.known.__getitem__, words))
+        x = self.sums[np.array(places)]
+        out = x[:, :3].copy()
+        for col, by, name in ((3, 1, "before "), (6, 2, "before2 ")):
+            out[by:] += x[:-by, col : col + 3]
+            out[:by] += self.weight([name])
+        out[:-1] += x[1:, 9:]
+        out[-1] += self.weight(["after "])
+        at = np.array(spans)
+        touch = np.concatenate(([False], at[1:, 0] == at[:-1, 1]))
+        out += np.where(touch[:, None], self.weight(["touches True"]), self.weight(["touches False"]))
+        files = file_features(text)
+        by_shape = self.of_files.setdefault(files, {})
+        for shape in {*shapes}.difference(by_shape):
+            by_shape[shape] = self.weight([f"{f} {shape}" for f in files])
+        out += np.array([by_shape[x] for x in shapes])
+        out[~touch, INSIDE] -= 1e9
+        return out
 
     def scores(self, ids: list[list[int]], limits: np.ndarray) -> np.ndarray:
         return np.stack([self.weights[x].sum(0) for x in ids]) + limits
@@ -154,15 +202,18 @@ class Field:
         return a, b, float(np.logaddexp.reduce(a[-1]))
 
     def viterbi(self, s: np.ndarray) -> list[int]:
-        t = self.steps + _allowed_next
-        best, back = s[0], []
-        for k in range(1, len(s)):
-            x = best[:, None] + t
-            back.append(x.argmax(0))
-            best = x.max(0) + s[k]
-        path = [int(best.argmax())]
-        for x in reversed(back):
-            path.append(int(x[path[-1]]))
+        (t00, t01, t02), (t10, t11, t12), (t20, t21, t22) = (self.steps + _allowed_next).tolist()
+        rows = s.tolist()
+        x, y, z = rows[0]
+        back = []
+        for p, q, r in rows[1:]:  # three labels: plain numbers are faster than arrays
+            to_out, to_begin, to_inside = (x + t00, y + t10, z + t20), (x + t01, y + t11, z + t21), (x + t02, y + t12, z + t22)
+            x, y, z = max(to_out), max(to_begin), max(to_inside)
+            back.append((to_out.index(x), to_begin.index(y), to_inside.index(z)))
+            x, y, z = x + p, y + q, z + r
+        path = [(x, y, z).index(max(x, y, z))]
+        for at in reversed(back):
+            path.append(at[path[-1]])
         return path[::-1]
 
     @classmethod
@@ -191,41 +242,61 @@ class Field:
 def examples(texts_: list[str]) -> list[tuple[list[list[int]], np.ndarray, list[int]]]:
     out = []
     for n, text in enumerate(texts_):
-        spans = [x for v in base_spans(text).values() for x in v]
-        for spans_here, _ in stretches(text)[:STRETCHES]:
-            y = [OUTSIDE] * len(spans_here)
-            limits = allowed(text, spans_here)
-            for k, (b, e) in enumerate(spans_here):
-                if any(s <= b and e <= t for s, t in spans):
+        base = [x for v in base_spans(text).values() for x in v]
+        spans, ranges = stretches(text, base)
+        of_file = file_features(text)
+        for lo, hi in ranges:
+            first = max(0, lo - 2)
+            here = spans[lo:hi]
+            y = [OUTSIDE] * len(here)
+            limits = allowed(text, here)
+            for k, (b, e) in enumerate(here):
+                if any(s <= b and e <= t for s, t in base):
                     same = k and y[k - 1] != OUTSIDE and limits[k, INSIDE] == 0
-                    y[k] = INSIDE if same else BEGIN if limits[k, BEGIN] == 0 else OUTSIDE
-            out.append((feature_ids(token_features(text, spans_here, file_features(text), hide=bool(n % 2))), limits, y))
+                    y[k] = INSIDE if same else BEGIN
+            found = token_features(text, spans[first : hi + 1], of_file, hide=bool(n % 2))[lo - first : hi - first]
+            out.append((feature_ids(found), limits, y))
     return out
 
 
 def crf_spans(field: Field, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Begin and end of each secret on the best path that overlaps nothing taken, holds LEAST_CHARS and has the marginal LEAST_MARGINAL."""
-    out, of_file = [], None
-    for spans, first in stretches(text):
-        if any(b < spans[-1][1] and spans[first][0] < e for b, e in taken):
-            inside = [x for x in spans[first:] if not any(b < x[1] and x[0] < e for b, e in taken)]
-            if not inside:
-                continue
-        of_file = of_file or file_features(text)
-        limits = allowed(text, spans)
-        s = field.scores(feature_ids(token_features(text, spans, of_file)), limits)
-        path = field.viterbi(s)
+    """Begin and end of each secret on the best path that overlaps nothing taken and has the marginal LEAST_MARGINAL."""
+    spans = [x.span() for x in TOKEN.finditer(text or "")]
+    if not spans:
+        return []
+    s = field.text_scores(text, spans, TOKEN.findall(text))
+    t = field.steps + _allowed_next
+    slack = 2 * max(0.0, t.max() - min(t[:, OUTSIDE].min(), t[OUTSIDE, BEGIN]))
+    run = np.cumsum(s[:, INSIDE] < -1e8)
+    keep = np.isin(run, np.unique(run[s[:, BEGIN:].max(1) - s[:, OUTSIDE] + slack > 0]))
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], keep, [0]))))
+    out = []
+    joined_: list[list[int]] = []
+    for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        lo, hi = max(0, lo - CONTEXT), min(len(spans), hi + CONTEXT)
+        if joined_ and lo < joined_[-1][1]:
+            joined_[-1][1] = hi
+        else:
+            joined_.append([lo, hi])
+    for lo, hi in joined_:
+        here = s[lo:hi].copy()
+        here[0, INSIDE] = -1e9
+        if lo:
+            here[0, BEGIN] = -1e9  # known to be outside
+        if hi < len(spans):
+            here[-1, BEGIN:] = -1e9
+        path = field.viterbi(here)
         if not any(path):
             continue
-        a, b, z = field.forward(s)
+        a, b, z = field.forward(here)
         k = 0
         while k < len(path):
             if path[k] == BEGIN:
                 j = k + 1
                 while j < len(path) and path[j] == INSIDE:
                     j += 1
-                begin, end = spans[k][0], spans[j - 1][1]
-                if end - begin >= LEAST_CHARS and math.exp(min(0.0, a[k, BEGIN] + b[k, BEGIN] - z)) >= LEAST_MARGINAL and not any(x < end and begin < y for x, y in taken):
+                begin, end = spans[lo + k][0], spans[lo + j - 1][1]
+                if math.exp(min(0.0, a[k, BEGIN] + b[k, BEGIN] - z)) >= LEAST_MARGINAL and not any(x < end and begin < y for x, y in taken):
                     out.append((begin, end))
                 k = j
             else:
@@ -234,13 +305,12 @@ def crf_spans(field: Field, text: str, taken: list[tuple[int, int]]) -> list[tup
 
 
 def train(docs: DataFrame, most: int = TRAINING) -> Field | None:
-    """From `most` texts with base spans and as many without that hold a place where a secret may begin."""
+    """From `most` texts with base spans and as many without."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            if START.search(text):
-                rows.append((key, int(any(base_spans(text).values()))))
+            rows.append((key, int(any(base_spans(text).values()))))
         return pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "positive": pa.array([r[1] for r in rows], pa.int32())})
 
     from functools import reduce
