@@ -100,29 +100,3 @@ def test_far_fixes_find_a_vertex(spark, tmp_path):
     want = [own.get((int(x // 1000), int(y // 1000)), int(v["id"].iloc[near])) for x, y, near in zip(fixes["x"], fixes["y"], dd.argmin(1))]
     got = {r["seq"]: r["id"] for r in plans.run("snap_nodes", spark, str(tmp_path)).collect()}
     assert [got[s] for s in fixes["seq"]] == want
-
-
-def test_secrets_of_every_shape():
-    import random
-
-    from waymark.llm import secrets
-
-    rng = random.Random(5)
-    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    upper, lower = "ABCDEFGHJKLMNPQRSTUVWXYZ", "bcdfghjklmnpqrstvwxz"
-    say = lambda n: " ".join(rng.choice("the of and a well-known river runs from here to old stone houses in may".split()) for _ in range(n))
-    kinds = {"groups": lambda: "-".join(pick(upper, 2) + pick("0123456789", 2) for _ in range(4)), "letters": lambda: pick(upper + lower, 20), "phrase": lambda: "-".join(pick(lower, 5) for _ in range(4)), "short": lambda: pick(lower, 4) + pick("0123456789", 4)}
-    made = {k: [f"{say(20)} token = {f()} {say(9)}" for _ in range(40)] for k, f in kinds.items()}
-    plain = [say(30) for _ in range(80)]
-    field = secrets.Field.trained(secrets.examples([t for v in made.values() for t in v] + plain))
-    for kind, texts in made.items():
-        want = [[s for v in secrets.base_spans(t).values() for s in v] for t in texts]
-        assert sum(secrets.crf_spans(field, t, []) == w for t, w in zip(texts, want)) >= 36, kind
-    assert not any(secrets.crf_spans(field, t, []) for t in plain)
-    # the stretches that are decoded hold the best path of the whole text
-    for t in [x[0] for x in made.values()] + plain[:3]:
-        spans = [x.span() for x in secrets.TOKEN.finditer(t)]
-        s = field.scores(secrets.feature_ids(secrets.token_features(t, spans, secrets.file_features(t))), secrets.allowed(t, spans))
-        assert np.allclose(s, field.text_scores(t, spans, secrets.TOKEN.findall(t)))
-        begins = [spans[k][0] for k, y in enumerate(field.viterbi(s)) if y == secrets.BEGIN]
-        assert {b for b, _ in secrets.crf_spans(field, t, [])} <= {*begins}
