@@ -244,26 +244,6 @@ def test_toxic_words_are_found():
     assert all((m.score(m.best(toxicity.TOKEN.findall(t))) >= 0.7) == bool(y) for t, y in rows[300:])
 
 
-def test_html():
-    page = '<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>H &amp; h</h1><p>One\n <b>two</b><br><p>Three&nbsp;&lt;x&gt;</article><div class="ad">Buy</div><footer>End</footer>'
-    m = html_extract.Model(html_extract.count([page] * 50))
-    assert m.text(page) == "H & h\nOne two\nThree <x>"
-    p = html_extract.Page(page)
-    y = m.marginals(p)
-    e, own = m.edge, [1 / (1 + math.exp(-sum(m.node.get(f, 0) for f in x))) for x in p.features()]
-    n = len(own)
-    sums = [0.0] * n
-    all_of = 0.0
-    for bits in range(1 << (n - 1)) if n <= 14 else ():
-        z = [0, *(bits >> k & 1 for k in range(n - 1))]
-        w = math.prod((own[k] if z[k] else 1 - own[k]) * e[z[p.parent[k]]][z[k]] for k in range(1, n))
-        all_of += w
-        for k in range(1, n):
-            sums[k] += w * z[k]
-    if all_of:
-        assert np.allclose(y[1:], [s / all_of for s in sums[1:]], atol=1e-6)
-
-
 def test_secrets_base_and_field():
     text = 'API_KEY: "abcdef12" password=short x AKIA' + "Q1" * 9 + " 0123456789abcdef01234567 ſecret=abcdefgh"
     b = secrets.base_spans(text)
