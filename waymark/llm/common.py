@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes between which a word stands: blank and tab to carriage return.
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this machine only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this machine in local mode, as in tests, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,6 +64,32 @@ def small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= most_mb << 20 else df
 
 
+def joined(rows: DataFrame, groups: DataFrame, on: list[str], size: str, parts: int = 1024) -> DataFrame:
+    """rows joined with groups (one row for each `on`, with its number of rows as `size`), without the column `size`.
+
+    A group that holds over a parts-th of all rows would make one task long. There are under `parts` of them, whatever
+    the data, so these are broadcast; all others meet by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total / parts).drop(size)
+    rest = groups.where(F.col(size) <= total / parts).drop(size)
+    keys = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(keys, on, "left_anti").join(rest, on))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind it as make it unlike any column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def nested(df: DataFrame) -> Column:
+    """All columns of df as one, so that columns made beside it can't clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 @atexit.register
 def _drop_all() -> None:
     for path in list(_written):
