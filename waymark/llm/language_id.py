@@ -2,11 +2,12 @@
 
 Counting: each partition counts the n-gram buckets of its labelled texts per language in numpy and sends
 on at most languages x BUCKETS rows; Spark sums them. The log-probability matrix (languages x BUCKETS
-doubles, a size that does not grow with the texts) is broadcast, and batches are scored by sparse sums.
+doubles, a size that does not grow with the texts) is broadcast, and batches of texts are scored as sparse
+matrices of counts.
 
 Texts are lower-cased; runs of what is no letter become one blank. Null texts, empty ones and those
 without any letter give `und` with score 0; so does every text if no labelled text holds a letter.
-Rows that repeat are answered each; ties go to the language first in alphabetical order.
+Rows that repeat are answered each; columns of other names are left out. Ties go to the language first in alphabetical order.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import each_batch, remainder, texts
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
+#: N-grams that are scored at once, and cells of their product with the weights that are held at once.
+BATCH_GRAMS, SLICE_CELLS = 1 << 20, 1 << 22
 _IS_LETTER: list[np.ndarray] = []
 
 
@@ -75,22 +78,37 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.hstack([np.log(grams / grams.sum(1, keepdims=True)), np.log(counts[:, BUCKETS:] / counts[:, BUCKETS:].sum())])
 
 
+def batch_scores(grams: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Log joint probabilities (texts x languages): the batch's sparse counts (text, bucket, n), row by row, times the weights; a slice of entries at a time."""
+    of = np.repeat(np.arange(len(grams), dtype=np.int64), [len(x) for x in grams])
+    keys, n = np.unique(of * BUCKETS + np.concatenate(grams), return_counts=True)
+    of, bucket = keys // BUCKETS, keys % BUCKETS
+    out = np.tile(weights[BUCKETS].astype(np.float64), (len(grams), 1))
+    step = max(1, SLICE_CELLS // weights.shape[1])
+    for at in range(0, len(keys), step):
+        part = of[at : at + step]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        out[part[first]] += np.add.reduceat(weights[bucket[at : at + step]] * n[at : at + step, None].astype(np.float64), first)
+    return out
+
+
 def predict(docs: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
     """docs (doc_id, text, any more) with lang_pred and score, the posterior of that language."""
     sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T.astype(np.float32)))
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        w, pred, conf = sent.value, [], []
-        for text in b.column("text").to_pylist():
-            x = buckets(text) if langs else None
-            if x is None:
-                pred.append("und")
-                conf.append(0.0)
-                continue
-            s = w[x].sum(0, dtype=np.float64) + w[BUCKETS]
-            k = int(s.argmax())
-            pred.append(langs[k])
-            conf.append(float(1 / np.exp(s - s[k]).sum()))
+        pred, conf, held, n = ["und"] * b.num_rows, [0.0] * b.num_rows, [], 0
+        for i, text in enumerate(b.column("text").to_pylist()) if langs else ():
+            if (x := buckets(text)) is not None:
+                held.append((i, x))
+                n += len(x)
+            if n >= BATCH_GRAMS or held and i + 1 == len(pred):
+                s = batch_scores([x for _, x in held], sent.value)
+                best = s.argmax(1)
+                sure = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+                for (at, _), k, p in zip(held, best.tolist(), sure.tolist()):
+                    pred[at], conf[at] = langs[k], p
+                held, n = [], 0
         out = b.drop_columns(["text"])
         return out.append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(conf, pa.float64()))
 
