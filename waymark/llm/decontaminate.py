@@ -5,20 +5,25 @@ pieces, it leaves one piece untouched in any such passage. One automaton finds a
 a single pass over each whole text, and Myers' bit-parallel distance verifies the passage around each hit.
 Items and texts are compared in lower case with every run of white space as one blank.
 
-The items are a stated query set: they are sent to all texts in blocks of BLOCK_CHARS characters, so what is
-broadcast stays bounded however many items there are. Null and empty texts match nothing; null, blank and
-repeated items are answered as one or not at all (an item of one piece must occur exactly).
+The items are a stated query set: they are sent to all texts in blocks of BLOCK_CHARS characters, so what the
+driver, the broadcast and the workers hold stays bounded however many items there are; with more than one block,
+each block's finds are a written table and its broadcast goes before the next one comes. Null and empty texts
+match nothing; null and blank items are left out, items equal in folded form are one, named by the least item_id
+(an item of one piece must occur exactly). Rows that repeat are each answered; other columns of docs are kept by
+without() and left out by scan().
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, texts
+from .common import each_batch, nested, stored, texts
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -113,44 +118,61 @@ class Matcher:
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS):
     """Distinct folded items, keyed by their least item_id, in blocks of bounded size."""
-    seen, size = {}, 0
-    for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id").toLocalIterator():
-        item = folded(row["text"])
-        if item and item not in seen:
-            seen[item] = row["item_id"]
-            size += len(item)
-            if size >= most:
-                yield [(k, t) for t, k in seen.items()]
-                seen, size = {}, 0
-    if seen:
-        yield [(k, t) for t, k in seen.items()]
-
-
-def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, name: str) -> DataFrame:
-    """All columns of docs, and `id:distance` of the items found in its text; every block reads what the one before has found."""
-    rows = docs.withColumn(name, F.lit("").cast("string"))
-    for block in blocks(benchmark):
-        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(b: pa.RecordBatch, sent=sent, key=key) -> pa.RecordBatch:
-            if key not in _built:
-                _built.clear()
-                _built[key] = Matcher(sent.value, rate)
-            m = _built[key]
-            found = [",".join(filter(None, [f, *(f"{k}:{d}" for k, d in m.match(t))])) for t, f in zip(b.column("text").to_pylist(), b.column(name).to_pylist())]
-            return b.drop_columns([name]).append_column(name, pa.array(found, pa.string()))
-
-        rows = rows.mapInArrow(each_batch(run), rows.schema)
-    return rows
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"item_id": b.column("item_id"), "item": pa.array(map(folded, b.column("text").to_pylist()), pa.string())})
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(each_batch(run), "item_id long, item string")
+    block, size = [], 0
+    for row in items.where("item <> ''").groupBy("item").agg(F.min("item_id").alias("item_id")).orderBy("item_id", "item").toLocalIterator():
+        block.append((row["item_id"], row["item"]))
+        size += len(row["item"])
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _found(rows: DataFrame, block: list[tuple[int, str]], rate: float):
+    """rows with `found`: `id:distance` of the block's items in the column text; and the broadcast to be removed in the end."""
+    sent, key = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        if key not in _built:
+            _built.clear()
+            _built[key] = Matcher(sent.value, rate)
+        found = [",".join(f"{k}:{d}" for k, d in _built[key].match(t)) for t in b.column("text").to_pylist()]
+        return b.drop_columns(["text"]).append_column("found", pa.array(found, pa.string()))
+
+    return rows.mapInArrow(each_batch(run), rows.drop("text").schema.add("found", "string")), sent
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, text: str = "text") -> DataFrame:
+    """row (all columns of docs) and found: `id:distance` of the items in its text, in order of id."""
+    rows = docs.select(nested(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    each = blocks(benchmark)
+    first, second = next(each, None), next(each, None)
+    if second is None:
+        return _found(rows, first, rate)[0] if first else rows.select("row", F.lit("").alias("found"))
+    key = F.xxhash64("text"), F.length("text").alias("n")
+    distinct = stored(rows.select("text", key[0].alias("h"), key[1]).dropDuplicates(["h", "n", "text"]), "texts")
+    parts = []
+    for block in chain((first, second), each):
+        found, sent = _found(distinct.select("h", "n", "text"), block, rate)
+        parts.append(stored(found.where("found <> ''"), "items"))
+        sent.destroy()
+    found = reduce(DataFrame.unionAll, parts).groupBy("h", "n").agg(F.array_join(F.transform(F.array_sort(F.transform(F.flatten(F.collect_list(F.split("found", ","))), lambda x: F.struct(F.split(x, ":")[0].cast("long").alias("k"), x.alias("x")))), lambda x: x["x"]), ",").alias("found"))
+    return rows.withColumns({"h": key[0], "n": key[1]}).join(found, ["h", "n"], "left").select("row", F.coalesce("found", F.lit("")).alias("found"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, contaminated, n_items, items: `id:distance` in order of id, comma-joined."""
-    rows = _marked(texts(docs), benchmark, rate, "found")
+    rows = _marked(texts(docs), benchmark, rate)
     n = F.when(F.col("found") == "", 0).otherwise(F.size(F.split("found", ","))).cast("long")
-    return rows.select("doc_id", (F.col("found") != "").alias("contaminated"), n.alias("n_items"), F.col("found").alias("items"))
+    return rows.select("row.doc_id", (F.col("found") != "").alias("contaminated"), n.alias("n_items"), F.col("found").alias("items"))
 
 
 def without(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs that hold no item."""
-    return _marked(docs, benchmark, rate, "_wm_found").where(F.col("_wm_found") == "").drop("_wm_found")
+    return _marked(docs, benchmark, rate).where(F.col("found") == "").select("row.*")
