@@ -9,7 +9,8 @@ characters back into bytes through the reversed table; only joined bytes are rea
 character split between tokens comes back whole. Offsets are in characters of the text; the tokens of a
 split character share its span.
 
-Null and empty texts give no ids and empty bytes. Strings of special tokens are ordinary text.
+Null and empty texts give no ids and empty bytes. Strings of special tokens are ordinary text. Rows that
+repeat are answered each; columns of other names are left out.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import each_batch, texts
 
-_loaded: dict[str, "ByteBpe"] = {}
+_loaded: dict[tuple[str, str], "ByteBpe"] = {}
 #: Characters that are encoded at once.
 SLICE_CHARS = 1 << 20
-#: Distinct matches whose ids a worker remembers, give or take a slice.
-KNOWN_MATCHES = 300_000
+#: Distinct matches whose ids a worker remembers, give or take a slice, and their length at most; longer ones are merged anew.
+KNOWN_MATCHES, KNOWN_CHARS = 300_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -75,19 +76,31 @@ class ByteBpe:
             self.known.clear()
         split = [self.matches(t) for t in batch]
         new = [x for x in set().union(*split) if x not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.merger.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in split]
+        here = dict(zip(new, (e.ids for e in self.merger.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.known.update(here)
+        out = [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in split]
+        for x in here:
+            if len(x) > KNOWN_CHARS:
+                del self.known[x]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def send(spark: SparkSession, ranks_path: str) -> None:
+    """Have every executor fetch the file of ranks from the driver, as other machines need not hold it."""
+    if os.path.exists(ranks_path):
+        spark.sparkContext.addFile(ranks_path)
+
+
 def loaded(ranks_path: str, pattern: str) -> ByteBpe:
-    """One tokenizer for each Python worker; the file is this machine's, or the copy Spark has sent."""
-    if ranks_path not in _loaded:
+    """One tokenizer for each Python worker, from the copy that Spark has sent, or else this machine's file."""
+    if (ranks_path, pattern) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[ranks_path] = ByteBpe(ranks_path if os.path.exists(ranks_path) else SparkFiles.get(os.path.basename(ranks_path)), pattern)
-    return _loaded[ranks_path]
+        sent = SparkFiles.get(os.path.basename(ranks_path))
+        _loaded[ranks_path, pattern] = ByteBpe(sent if os.path.exists(sent) else ranks_path, pattern)
+    return _loaded[ranks_path, pattern]
 
 
 def slices(batch: list[str]):
@@ -115,6 +128,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
             out.append(pa.RecordBatch.from_pydict(cols))
         return out
 
+    send(docs.sparkSession, ranks_path)
     return texts(docs).mapInArrow(each_batch(run), "doc_id long, ids array<int>" + ", begins array<int>, ends array<int>" * offsets)
 
 
@@ -125,6 +139,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         bpe = loaded(ranks_path, pattern)
         return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "decoded": pa.array([bpe.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())})
 
+    send(encoded.sparkSession, ranks_path)
     return encoded.select("doc_id", "ids").mapInArrow(each_batch(run), "doc_id long, decoded binary")
 
 
@@ -144,4 +159,5 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) ->
             out.append(pa.RecordBatch.from_pydict(cols))
         return out
 
+    send(docs.sparkSession, ranks_path)
     return texts(docs).mapInArrow(each_batch(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
