@@ -241,7 +241,7 @@ def test_toxic_words_are_found():
         rows.append((" ".join(w), int(i % 4 == 0)))
     m = toxicity.Model(rows[:300])
     assert set(m.scores) == {"badword", "worse"}
-    assert all((m.score(m.best(toxicity.TOKEN.findall(t))) >= 0.7) == bool(y) for t, y in rows[300:])
+    assert all((m.score(m.evidence(toxicity.TOKEN.findall(t))) >= 0.7) == bool(y) for t, y in rows[300:])
 
 
 def test_secrets_base_and_field():

@@ -1,16 +1,22 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Learning: from a bounded sample of the labelled rows (LABELLED of them, the least by a hash of doc_id),
-each token, counted once for each pair of neighbours, gets the log-odds of toxic against other texts under a Dirichlet prior proportional to its
-frequency in both, shrunk by its standard error; tokens that don't stand out score BACKGROUND.
+Learning: from a bounded sample of the labelled rows (LABELLED of them, the least by a hash of doc_id), each
+token, counted once for each pair of neighbours, gets the log-odds of toxic against other texts under a
+Dirichlet prior proportional to its frequency in both, shrunk by its standard error; tokens that don't stand
+out score BACKGROUND.
 Scoring: a linear-time scan finds every maximal segment of positive sum (all disjoint ones, none of them
-extensible); a segment of sum s in n tokens has the normalised score lambda * s - ln(K n), where lambda is
-the root of E[exp(lambda x)] = 1 over clean tokens. Over clean text the largest of them follows the
-standard extreme-value law, so x is significant from SIGNIFICANT on, where that law leaves 1 in 150. The
-score is the posterior of a toxic text given the largest x, calibrated on the labelled texts.
+extensible); a segment of sum s in n tokens has the normalised score x = lambda * s - ln(K n), where lambda is
+the root of E[exp(lambda x)] = 1 over clean tokens. Over clean text the largest of them follows the standard
+extreme-value law, so x is significant from SIGNIFICANT on, where that law leaves 1 in 150. All segments of a
+text add to its evidence: the r largest, of sum T, are as unlikely in clean text as exp(-T) T^(r-1) / (r! (r-1)!)
+(the law of sums of the largest scores), and the evidence is the negative logarithm of the least of these over
+r, each r weighed by 2^(1-r). The score is the posterior of a toxic text given the evidence, calibrated on the
+labelled texts.
 
 Null and empty texts hold no segment: their score is that of a text without evidence. Tokens are runs of
-letters of the lower-cased text. If the sample lacks toxic or clean texts, every score is 0.
+letters of the lower-cased text. If the sample lacks toxic or clean texts, every score is 0. Rows that repeat
+are answered each; a doc_id with several labels counts as toxic if one says so; labels without a doc_id or a
+label are left out. Columns of other names are kept by with_score() and left out by detect().
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from .common import each_batch, remainder, stored, texts
 LABELLED = 20_000
 PRIOR_SHARE = 0.1
 BACKGROUND = -0.35
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 LEAST_ODDS = 1.0
 SIGNIFICANT = 5.0
 #: Normalised scores beyond these say no more.
@@ -78,7 +84,7 @@ class Model:
         seen = [{c for words, y in split if y == k for c in contexts(words)} for k in (0, 1)]
         counts = [Counter(w for _, w in c) for c in seen]
         if self.learn([(w, counts[0][w], n) for w, n in counts[1].items()], [len(c) for c in seen]):
-            self.calibrate([self.best(words) for words, _ in split], [y for _, y in split])
+            self.calibrate([self.evidence(words) for words, _ in split], [y for _, y in split])
 
     def learn(self, counts, totals: list[int]) -> bool:
         """From (token, count in clean, count in toxic text) and the sums of all tokens' counts; False if either sum is 0."""
@@ -102,13 +108,21 @@ class Model:
         self.log_k = math.log(max(1e-9, sum(p for _, p in share)))
         return True
 
-    def calibrate(self, best: list[float], toxic: list[int]) -> None:
-        self.law = self._calibrated(np.clip(best, *RANGE), np.array(toxic, float))
-
-    def best(self, words: list[str], found=None) -> float:
-        """The largest normalised score; without any segment that of a sum of 0, and never above 0."""
-        found = self.found(words) if found is None else found
-        return max((s for s, _, _ in found), default=min(0.0, -self.log_k - math.log(max(1, len(words)))))
+    def calibrate(self, evidence: list[float], toxic: list[int]) -> None:
+        self.law = self._calibrated(np.clip(evidence, *RANGE), np.array(toxic, float))
+
+    def evidence(self, words: list[str], found=None) -> float:
+        """Of all segments together; without any segment that of a sum of 0, and never above 0."""
+        x = sorted((s for s, _, _ in (self.found(words) if found is None else found)), reverse=True)
+        if not x:
+            return min(0.0, -self.log_k - math.log(max(1, len(words))))
+        best = total = x[0]
+        for r, more in enumerate(x[1:], 2):
+            if more < 1 or best > RANGE[1]:  # the law of sums holds for large scores, and beyond RANGE no more is said
+                break
+            total += more
+            best = max(best, total - (r - 1) * math.log(2 * total) + math.lgamma(r + 1) + math.lgamma(r))
+        return best
 
     def found(self, words: list[str]) -> list[tuple[float, int, int]]:
         get = self.scores.get
@@ -128,15 +142,15 @@ class Model:
         slope = max(1e-3, float(beta[0]))
         return slope, -float(beta[1]) / slope
 
-    def score(self, best: float) -> float:
+    def score(self, evidence: float) -> float:
         if self.law is None:
             return 0.0
         slope, middle = self.law
-        return 1 / (1 + math.exp(-slope * (min(max(best, RANGE[0]), RANGE[1]) - middle)))
+        return 1 / (1 + math.exp(-slope * (min(max(evidence, RANGE[0]), RANGE[1]) - middle)))
 
 
 def train(labelled: DataFrame) -> Model:
-    """From the rows of a sample (text, toxic). Contexts are counted and best segments scored where the rows are; the driver gets the tokens that stand out and one number for each row."""
+    """From the rows of a sample (text, toxic). Contexts are counted and evidence is summed where the rows are; the driver gets the tokens that stand out and one number for each row."""
     rows = stored(labelled.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
     def count(batches):
@@ -154,12 +168,12 @@ def train(labelled: DataFrame) -> Model:
         return model
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
-    def best(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = [sent.value.best(TOKEN.findall((t or "").lower())) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_pydict({"best": pa.array(x, pa.float64()), "toxic": b.column("toxic")})
+    def evidence(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = [sent.value.evidence(TOKEN.findall((t or "").lower())) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"evidence": pa.array(x, pa.float64()), "toxic": b.column("toxic")})
 
-    got = rows.mapInArrow(each_batch(best), "best double, toxic int").toPandas()
-    model.calibrate(got["best"].to_numpy(), got["toxic"].to_numpy())
+    got = rows.mapInArrow(each_batch(evidence), "evidence double, toxic int").toPandas()
+    model.calibrate(got["evidence"].to_numpy(), got["toxic"].to_numpy())
     return model
 
 
@@ -178,7 +192,7 @@ def detect(docs: DataFrame, model: Model, *more) -> DataFrame:
         for text in b.column("text").to_pylist():
             words = TOKEN.findall(text.lower())
             found = m.found(words)
-            score.append(m.score(m.best(words, found)))
+            score.append(m.score(m.evidence(words, found)))
             spans.append(",".join(f"{x}:{y}" for s, x, y in found if s >= SIGNIFICANT))
         return b.drop_columns(["text"]).append_column("score", pa.array(score, pa.float64())).append_column("passages", pa.array(spans, pa.string()))
 
@@ -192,7 +206,7 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        return b.append_column(name, pa.array([m.score(m.best(TOKEN.findall((t or "").lower()))) for t in b.column("text").to_pylist()], pa.float64()))
+        return b.append_column(name, pa.array([m.score(m.evidence(TOKEN.findall((t or "").lower()))) for t in b.column("text").to_pylist()], pa.float64()))
 
     return docs.mapInArrow(each_batch(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
