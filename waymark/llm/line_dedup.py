@@ -14,7 +14,8 @@ earlier too (in order of doc_id, then place). Nothing else is deleted, so the fi
    union of all maximal repeated runs that are long enough and not first.
 
 DataFrame operations only. Each round is cut by a table written to the shared folder. Intervals are counted
-by partial aggregation and joined back, so no task gathers a group. Null and empty texts stay as they are;
+by partial aggregation and joined back, the few that hold over a thousandth of the rows by a broadcast, so no
+task gathers a group. A document's lines are handled in one task, in linear time. Null and empty texts stay;
 rows that repeat (equal doc_id and text) are one document and get one answer; a null doc_id comes last.
 Equality of lines is that of 128-bit hashes.
 """
@@ -24,21 +25,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, small, stored
+from .common import drop, fresh, joined, nested, stored
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 _LAST = (1 << 63) - 1
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumns({"_wm_d": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_wm_t": F.xxhash64(F.col(text))})
+def _named(key: str, text: str):
+    """d, t: what a document goes by."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(F.col(text)).alias("t")
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """d, t: the document; i: the line's place among lines with a word; pos: among all; h1, h2, words."""
     numbered = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\r\f\u000b")).alias("line"))), lambda x: x["line"] != "")
-    rows = _keyed(docs, key, text).select(F.col("_wm_d").alias("d"), F.col("_wm_t").alias("t"), F.posexplode(numbered).alias("i", "x"))
+    rows = docs.select(*_named(key, text), F.posexplode(numbered).alias("i", "x"))
     line = F.col("x.line")
     return rows.select("d", "t", "i", F.col("x.pos").alias("pos"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.regexp_count(line, F.lit(WORD)).alias("words"))
 
@@ -49,11 +51,11 @@ def _ranked(groups: DataFrame, *by: str) -> DataFrame:
 
 
 def _least_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """d, t, i, n: the least run of min_words words from each place, and the least to each place."""
+    """d, t, i, n: the least run of min_words words from each place, and the least to each place. All frames grow from one end, so a stretch takes linear time."""
     w = Window.partitionBy("d", "t", "stretch")
     before = F.sum("words").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("c", F.coalesce(before, F.lit(0)).cast("long")).withColumn("e", (F.col("c") + F.col("words")).cast("long"))
-    next_ = F.min("i").over(w.orderBy("c").rangeBetween(min_words, Window.unboundedFollowing))
+    next_ = F.min("i").over(w.orderBy(F.desc("c")).rangeBetween(Window.unboundedPreceding, -min_words))
     ends = F.max("i").over(w) + 1
     total = F.max("e").over(w)
     stop = F.coalesce(next_, F.when(total - F.col("c") >= min_words, ends))
@@ -64,22 +66,31 @@ def _least_runs(rows: DataFrame, min_words: int) -> DataFrame:
     return found.select("d", "t", F.explode(runs).alias("x")).select("d", "t", "x.i", "x.n").where("n is not null and i is not null").distinct()
 
 
+def _covered(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows that some run covers: a run counts up where it begins and down where it has ended."""
+    ends = runs.select("d", "t", "i", F.lit(1).alias("more")).unionAll(runs.select("d", "t", F.col("i") + F.col("n"), F.lit(-1)))
+    ends = ends.groupBy("d", "t", "i").agg(F.sum("more").alias("more")).select("d", "t", "i", F.lit(None).cast("int").alias("pos"), "more")
+    both = rows.select("d", "t", "i", "pos", F.lit(0).cast("long").alias("more")).unionAll(ends)
+    over = F.sum("more").over(Window.partitionBy("d", "t").orderBy("i").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("over", over).where("pos is not null and over > 0").select("d", "t", "pos")
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """d, t, deleted: sorted numbers of the lines to delete, for each document that has any."""
     lines = stored(_lines(docs, key, text), "lines")
-    ids = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    ids = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     ids = _ranked(ids, "h1", "h2")
     of_doc = Window.partitionBy("d", "t")
-    rows = lines.join(ids, ["h1", "h2"]).select("d", "t", "i", "pos", "words", "r").distinct()
+    rows = joined(lines, ids, ["h1", "h2"], "m").select("d", "t", "i", "pos", "words", "r").distinct()
     rows = rows.withColumn("stretch", F.col("i") - F.row_number().over(of_doc.orderBy("i")))
     rows = rows.withColumn("sum", F.sum("words").over(Window.partitionBy("d", "t", "stretch"))).where(F.col("sum") >= min_words).drop("sum")
     rows = stored(rows, "places")
     levels, level, h = [rows.select("d", "t", "i", "r", F.lit(0).alias("level"))], rows.select("d", "t", "i", "r"), 1
     while 2 * h <= min_words:
         ahead = F.first("r").over(of_doc.orderBy("i").rangeBetween(h, h))
-        pairs = stored(level.withColumn("r2", ahead).where("r2 is not null"), "pairs")
-        groups = _ranked(pairs.groupBy(F.col("r").alias("r1"), "r2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "r1", "r2")
-        level = stored(pairs.withColumnRenamed("r", "r1").join(groups, ["r1", "r2"]).select("d", "t", "i", "r"), "level")
+        pairs = stored(level.withColumn("r2", ahead).where("r2 is not null").withColumnRenamed("r", "r1"), "pairs")
+        groups = _ranked(pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "r1", "r2")
+        level = stored(joined(pairs, groups, ["r1", "r2"], "m").select("d", "t", "i", "r"), "level")
         drop(pairs)
         if level.isEmpty():
             break
@@ -92,17 +103,20 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     runs = runs.withColumn("j", F.col("i") + F.col("n") - F.expr("shiftleft(1, level)"))
     named = runs.join(table.withColumnRenamed("r", "ra"), ["d", "t", "i", "level"]).join(table.select("d", "t", F.col("i").alias("j"), F.col("r").alias("rb"), "level"), ["d", "t", "j", "level"])
     named = stored(named.select("d", "t", "i", "n", "ra", "rb"), "runs")
-    first = named.groupBy("n", "ra", "rb").agg(F.min(F.struct("d", "t", "i")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    later = named.join(first, ["n", "ra", "rb"]).where(F.struct("d", "t", "i") != F.col("first"))
-    gone = later.select("d", "t", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).distinct()
-    gone = gone.join(rows.select("d", "t", "i", "pos"), ["d", "t", "i"])
-    return stored(gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("deleted")), "deleted")
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` freed of later copies, and deleted_lines (numbers from 0; empty if none) beside all its columns."""
-    gone = repeated(docs, key, text, min_words).select(F.col("d").alias("_wm_d"), F.col("t").alias("_wm_t"), F.col("deleted").alias("_wm_gone"))
-    rows = _keyed(docs, key, text).join(small(gone, 200), ["_wm_d", "_wm_t"], "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_wm_gone", i)), "\n")
-    rows = rows.withColumn(text, F.when(F.col("_wm_gone").isNull(), F.col(text)).otherwise(left))
-    return rows.withColumn("deleted_lines", F.coalesce("_wm_gone", F.array().cast("array<int>"))).drop("_wm_d", "_wm_t", "_wm_gone")
+    first = stored(named.groupBy("n", "ra", "rb").agg(F.min(F.struct("d", "t", "i")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"), "first")
+    later = joined(named, first, ["n", "ra", "rb"], "m").where(F.struct("d", "t", "i") != F.col("first"))
+    return stored(_covered(rows, later).groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("deleted")), "deleted")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, name: str | None = None) -> DataFrame:
+    """All columns of docs, `text` freed of later copies, and beside them `name` (deleted_lines, with underscores where docs has that column): numbers from 0 of the deleted lines, empty if none."""
+    name = name or fresh(docs, "deleted_lines")
+    gone = repeated(docs, key, text, min_words)
+    n, cells = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("deleted")), F.lit(0))).first()
+    rows = docs.select(nested(docs).alias("row"), *_named(key, text)).join(F.broadcast(gone) if 64 * n + 8 * cells <= 64 << 20 else gone, ["d", "t"], "left")
+    lines = F.split(F.col(f"row.{text}"), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
+    held = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))  # a variable of one value, so that the text is split once and not for each line
+    left = F.transform(held, lambda x: F.array_join(F.transform(x["kept"], lambda i: F.get(x["lines"], i)), "\n"))[0]
+    new = F.when(F.col("deleted").isNull(), F.col(f"row.{text}")).otherwise(left)
+    return rows.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns), F.coalesce("deleted", F.array().cast("array<int>")).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, ngram_lm, quality_rules, secrets, toxicity
-from .common import remainder, table
+from .common import fresh, remainder, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -23,8 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), "deleted_lines", "text")
+    docs = table(spark, sf_dir, "documents")
+    name = fresh(docs, "deleted_lines")
+    gone = F.col(name)
+    return line_dedup.dedup(docs, name=name).select("doc_id", F.size(gone).cast("long").alias("n_deleted"), gone.alias("deleted_lines"), "text")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
