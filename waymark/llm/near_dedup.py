@@ -16,9 +16,12 @@ TABLES = 16, 3 in 100,000); as many tables from independent bands would need TAB
 4. Candidates are verified on full sets of shingles (not hashes of them).
 5. Components come from repeated rounds of joining each node to its least neighbour and pointer jumping.
 
-Every step is a written table in the shared folder; hot buckets are counted by partial aggregation and joined
-back, never gathered. Null and empty texts have empty sets and no links. Rows of one doc_id count as one
-document; those with a null doc_id are not linked and are kept under a null component.
+Every step is a written table in the shared folder; hot buckets, bands and shingles are counted by partial
+aggregation and joined back, the few largest by a broadcast, and pairs of the classes that share a hot shingle are
+formed in SALTS tasks; nothing is gathered. Null and empty texts have empty sets and no links. Each row is judged
+by its own text, so rows that repeat get one answer, and a doc_id with several texts is in the component of each of
+them, kept where it is that one's least. Rows with a null doc_id are not linked and are kept under a null component.
+Columns of other names are left out.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, drop, each_batch, mixed, small, stored, texts
+from .common import WordHashes, as_bytes, drop, each_batch, joined, mixed, small, stored, texts
 
-TABLES, ROWS = 12, 3
+TABLES, ROWS, SALTS = 12, 3, 16
 _state: dict[str, object] = {}
 
 
@@ -72,7 +75,7 @@ def _node(words: list[bytes]) -> int:
 
 
 def signatures(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame:
-    """doc_id, node (names the word sequence), n_shingles, keys."""
+    """doc_id, node (names the word sequence), n_shingles, keys, h (of the text as it is)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = _state.setdefault("hashes", WordHashes())
@@ -83,22 +86,22 @@ def signatures(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame
             node.append(_node(words))
             n.append(len(x))
             keys.append(bands(x, tables, rows).astype(np.int64) if len(x) else None)
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "node": pa.array(node, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "node": pa.array(node, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "h": b.column("h")})
 
-    return texts(docs).mapInArrow(each_batch(run), "doc_id long, node long, n_shingles long, keys array<long>")
+    return texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(each_batch(run), "doc_id long, node long, n_shingles long, keys array<long>, h long")
 
 
 def _buckets(classes: DataFrame, tables: int) -> DataFrame:
     """bucket, node, n of all table buckets with two classes or more."""
     slots = classes.select("node", F.posexplode("keys").alias("slot", "key"))
-    shared = slots.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    kept = stored(slots.join(shared, ["slot", "key"]).groupBy("node").agg(F.collect_list(F.struct("slot", "key")).alias("bands")), "bands")
+    shared = stored(slots.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
+    kept = stored(joined(slots, shared, ["slot", "key"], "m").groupBy("node").agg(F.collect_list(F.struct("slot", "key")).alias("bands")), "bands")
     one = F.filter("bands", lambda x: x["slot"] < tables)
     two = F.filter("bands", lambda x: x["slot"] >= tables)
     keys = F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: F.xxhash64(x["slot"], x["key"], y["slot"], y["key"]))))
     rows = stored(kept.select("node", F.explode(keys).alias("bucket")), "keys")
-    held = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).where("m > 1")
-    return stored(rows.join(held, "bucket").join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "buckets")
+    held = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("hub")).where("m > 1").withColumn("size", F.col("m")), "held")
+    return stored(joined(rows, held, ["bucket"], "size").join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "buckets")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
@@ -177,25 +180,28 @@ def _by_prefix(apart: DataFrame, classes: DataFrame, docs: DataFrame, width: int
 
     sets = texts(docs).join(small(nodes.select(F.col("rep").alias("doc_id")).distinct(), 16), "doc_id", "left_semi").mapInArrow(each_batch(run), "node long, tokens array<long>").dropDuplicates(["node"])
     tokens = stored(sets.join(small(nodes.select("node"), 16), "node", "left_semi").select("node", F.explode("tokens").alias("token")), "tokens")
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")  # what a set holds alone comes first in it and joins nothing
-    ordered = tokens.join(held, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("rare")).join(nodes, "node")
+    held = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("size", F.col("f")), "held")  # what a set holds alone comes first in it and joins nothing
+    ordered = joined(tokens, held, ["token"], "size").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("rare")).join(nodes, "node")
     left = lambda n, p, m: (n - p) * (100 + least) >= (n + m) * least  # noqa: E731  enough is left of n from position p on
     rows = ordered.select("node", "comp", "n", F.posexplode("rare").alias("k", "x"), (F.col("n") - F.size("rare")).alias("alone"))
     rows = rows.select("node", "comp", "n", (F.col("k") + F.col("alone")).alias("p"), F.col("x")["token"].alias("token"))
     rows = stored(rows.where(left(F.col("n"), F.col("p"), F.ceil(F.col("n") * least / 100))), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    rows = stored(rows.join(shared, "token"), "prefixes")
+    shared = stored(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("token", "size"), "shared")
+    rows = stored(joined(rows, shared, ["token"], "size"), "prefixes")
     drop(tokens)
-    one = rows.where(left(F.col("n"), F.col("p"), F.col("n"))).alias("s")  # the set that isn't the larger
+    hot = F.broadcast(shared.where(F.col("size") > (shared.agg(F.sum("size")).first()[0] or 0) / 1024).select("token", F.lit(SALTS).alias("salts")))  # under 1,024 of them
+    rows = rows.join(hot, "token", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    one = rows.where(left(F.col("n"), F.col("p"), F.col("n"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("s")  # the set that isn't the larger
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
     c = lambda x: F.col(x)
     after = (c("s.n") < c("l.n")) | ((c("s.n") == c("l.n")) & (c("s.node") < c("l.node")))
     fits = (c("s.n") * 100 >= c("l.n") * least) & left(c("s.n"), c("s.p"), c("l.n")) & left(c("l.n"), c("l.p"), c("s.n"))
-    both = one.join(rows.alias("l"), (c("s.token") == c("l.token")) & (c("s.comp") != c("l.comp")) & after & fits)
+    both = one.join(rows.alias("l"), (c("s.token") == c("l.token")) & (c("s.salt") == c("l.salt")) & (c("s.comp") != c("l.comp")) & after & fits)
     return both.select(F.least("s.node", "l.node").alias("a"), F.greatest("s.node", "l.node").alias("b")).distinct()
 
 
-def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links of at least `least` hundredths."""
+def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABLES, rows: int = ROWS, hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links of at least `least` hundredths; with hashes also h, xxhash64 of each row's text (null: empty)."""
     sig = stored(signatures(docs, width, tables, rows), "signatures")
     classes = stored(sig.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys")), "classes")
     buckets = _buckets(classes, tables)
@@ -213,6 +219,6 @@ def cluster(docs: DataFrame, width: int = 3, least: int = 85, tables: int = TABL
     names = classes.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = stored(names.groupBy("root").agg(F.min("rep").alias("component")), "components")
     named = stored(names.join(least_of, "root").select("node", "component"), "named")
-    out = sig.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    out = sig.select("doc_id", "node", "n_shingles", "h").join(named, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *["h"][: int(hashes)])
