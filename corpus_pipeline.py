@@ -6,7 +6,9 @@ near_dedup     of each group of near copies (five words, similarity 0.8) the one
 decontaminate  documents that hold a passage within the error budget of a benchmark item go
 byte_bpe       doc_id, n_tokens, ids, decoded_sha256 of each document
 
-Every stage but the last returns the columns of documents. Null and empty texts pass through all of them.
+Every stage but the last returns the columns of documents, any others of the table with them. Null and empty texts
+pass through all of them, and so do rows without a doc_id unless their own text is rejected. Each row is judged by
+its own text: of a doc_id with several texts only those go that a stage rejects, and rows that repeat fare alike.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from waymark.llm.common import small, stored, table
+from waymark.llm.common import fresh, nested, small, stored, table
 
 TOXIC = 0.7
 ORACLE_SQL = None
@@ -24,20 +26,22 @@ ORACLE_SQL = None
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.with_score(docs, model, "_wm_score").where(F.col("_wm_score") < TOXIC).drop("_wm_score")
+    name = fresh(docs, "toxicity")
+    return toxicity.with_score(docs, model, name).where(F.col(name) < TOXIC).drop(name)
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(docs.withColumn("_wm_text", F.col("text")), text="_wm_text")
-    changed = F.size("deleted_lines") > 0
-    found = found.where(~changed | (F.trim("_wm_text") != ""))
-    columns = [F.col("_wm_text").alias(c) if c == "text" else F.when(changed, F.length("_wm_text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return found.select(*columns)
+    name = fresh(docs, "deleted_lines")
+    found, changed = line_dedup.dedup(docs, name=name), F.size(F.col(name)) > 0
+    found = found.where(~changed | (F.btrim("text", F.lit(" \t\n\r\f\u000b")) != ""))
+    return found.select(*(F.when(changed, F.length("text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dedup.cluster(docs, width=5, least=80, tables=16).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small(stored(copies, "copies"), 16), "doc_id", "left_anti").select(*docs.columns)
+    copies = near_dedup.cluster(docs, width=5, least=80, tables=16, hashes=True).where(~F.col("kept")).select("doc_id", "h").distinct()
+    copies = small(stored(copies, "copies"), 24).select(F.col("doc_id").alias("_wm_d"), F.col("h").alias("_wm_h"))
+    same = (F.col("row.doc_id").cast("long") == F.col("_wm_d")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("_wm_h"))
+    return docs.select(nested(docs).alias("row")).join(copies, same, "left_anti").select("row.*")
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
