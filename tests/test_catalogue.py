@@ -23,7 +23,7 @@ def test_same_rows(spark, duck, name):
     cols = sorted(mine.columns)
     assert cols == sorted(theirs.columns)
     assert len(mine) == len(theirs)
-    key = lambda df: sorted(tuple("null" if v != v or v is None else round(float(v), 5) if isinstance(v, float) else str(v) for v in row) for row in df[cols].itertuples(index=False))
+    key = lambda df: sorted((tuple("null" if v != v or v is None else round(float(v), 5) if isinstance(v, float) else str(v) for v in row) for row in df[cols].itertuples(index=False)), key=str)
     assert [str(x) for x in key(mine)] == [str(x) for x in key(theirs)]
 
 

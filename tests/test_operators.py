@@ -54,6 +54,7 @@ def test_stays_and_costs(spark):
     grid = spark.createDataFrame([(1, 0, 1, i, j, 0.0 if i == j else 900.0) for i in range(3) for j in range(3)], "uid long, s1 long, s2 long, i long, j long, c double")
     row = sequential.sequence_costs(grid).first()
     assert (row["lcrs"], row["neterp"]) == (0.0, 0.0)
+    assert sequential.sequence_costs(grid.where("i < 2"), gap_m=500.0).first()["neterp"] == 100.0
 
 
 def test_shortest_paths(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans
-from .operators import geo, graph, rank, sequential, stats, trips  # noqa: F401  they register their steps
+from .operators import anomalies, audits, codebooks, geo, graph, moves, rank, sequential, stats, trips  # noqa: F401  they register their steps
 from .streaming import sessions as streaming
 
 
@@ -32,7 +32,7 @@ def _network_trip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = b.join(F.broadcast(k), ["uid", "seg"]).select(F.col("uid").alias("u1"), F.col("seg").alias("s1"), "i", F.col("id").alias("src"))
     b = b.select(F.col("uid").alias("u2"), F.col("seg").alias("s2"), F.col("i").alias("j"), F.col("id").alias("dst"))
     cells = a.join(paths, "src").join(b, "dst").where("u1 <> u2 OR s1 <> s2").select("u1", "s1", "u2", "s2", "i", "j", F.col("cost").alias("c"))
-    return sequential.sequence_costs(cells, hit_m=1.0, gap_m=None, aligned=True)
+    return sequential.sequence_costs(cells, hit_m=1.0, aligned=True)
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:

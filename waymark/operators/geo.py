@@ -94,13 +94,18 @@ def pca_angle(d):
     return f"SELECT {d.r('angle')} AS angle, {d.r('iso')} AS isotropy FROM pca_fit"
 
 
-@query("grid_fit", "pca_fit")
-def orientation_choice(d):
+@step("grid_fit", "pca_fit")
+def orientation_fit(d):
     """Of the four grid directions the one nearest the principal axis; the axis itself where the grid is weak."""
-    return f"""SELECT {d.r('CASE WHEN max(strength) < 0.02e0 THEN max(pca) ELSE min_by(a, gap) END')} AS angle FROM (SELECT g.strength, p.angle AS pca, g.angle + k.k*pi()/2e0 AS a,
+    return f"""SELECT CASE WHEN max(strength) < 0.02e0 THEN max(pca) ELSE min_by(a, gap) END AS angle FROM (SELECT g.strength, p.angle AS pca, g.angle + k.k*pi()/2e0 AS a,
       abs(atan2(sin(g.angle + k.k*pi()/2e0 - p.angle), cos(g.angle + k.k*pi()/2e0 - p.angle))) AS gap FROM grid_fit AS g CROSS JOIN pca_fit AS p CROSS JOIN {d.values('k', [0.0, 1.0, 2.0, 3.0])} AS k) AS q"""
 
 
+@query("orientation_fit")
+def orientation_choice(d):
+    return f"SELECT {d.r('angle')} AS angle FROM orientation_fit"
+
+
 @query("centred")
 def occupancy_grid(d):
     return f"SELECT {d.floor('x/500e0')} AS cx, {d.floor('y/500e0')} AS cy, count(*) AS n FROM centred GROUP BY {d.floor('x/500e0')}, {d.floor('y/500e0')}"
@@ -112,47 +117,106 @@ def low_density_cell(d):
       FROM centred GROUP BY {d.floor('x/500e0')}, {d.floor('y/500e0')}) AS g) AS c ON c.k = {d.trunc(d.clip('(1e0 - s.s)*0.5e0', '0e0', '0.99e0') + '*(c.m - 1)')}"""
 
 
-def _ladder_query(d, source, value, xs, scale, name):
-    return f"SELECT seq, f.f_i AS scale_i, {d.r(f'sin({scale}*{value})')} AS s, {d.r(f'cos({scale}*{value})')} AS c, '{name}' AS axis FROM {source} CROSS JOIN {d.values('f', xs)} AS f WHERE {value} IS NOT NULL"
+def sines(value, scales, by="2e0*pi()/"):
+    """sin and cos of a value at each scale, interleaved."""
+    return [f"{f}({by}{x!r}*({value}))" for x in scales for f in ("sin", "cos")]
+
+
+def coded(d, source, key, codes, where="1 = 1"):
+    """One row for each row of source: key and the dimensions e0, e1, ... of its code, in one pass without a join."""
+    return f"SELECT {key}, {', '.join(f'{d.r(x)} AS e{k}' for k, x in enumerate(codes))} FROM {source} WHERE {where}"
+
+
+TORUS = geometric(200.0, 5000.0, 4)
+RADIAL = geometric(50.0, 5000.0, 4)
+GATE = "r/sqrt(r*r + 25e0)"
+
+
+def torus_code(x="x", y="y"):
+    return sines(x, TORUS) + sines(y, TORUS)
+
+
+def disp_code(psi="psi"):
+    """Radial ladder, and angular harmonics gated by r / hypot(r, 5 m)."""
+    return sines("r", RADIAL) + [f"{GATE}*{f}({m}e0*({psi}))" for m in HARMONICS for f in ("sin", "cos")]
+
+
+def speed_code():
+    return sines("ln(1e0 + v)", geometric(0.1, 5.0, 4)) + sines("ln(1e0 + dth*3600e0)", geometric(0.1, 5.0, 4))
+
+
+def time_code(d, t="t"):
+    """All sines of the hour, its cosines, then those of the day of the week."""
+    hour, dow = d.mod(t, "24e0"), d.mod(f"floor(({t})/24e0)", "7e0")
+    return [f"{f}(2e0*pi()*{m}e0*{x}/{n}e0)" for x, n, ms in ((hour, 24, (1, 2, 3, 4)), (dow, 7, (1, 2, 3))) for f in ("sin", "cos") for m in ms]
 
 
 @query("fixes")
 def encode_gpe(d):
-    xs = gpe_frequencies(32)
-    return _ladder_query(d, "fixes", "radians(lon)", xs, "f.f", "lon") + " UNION ALL " + _ladder_query(d, "fixes", "radians(lat)", xs, "f.f", "lat")
+    """Longitude, then latitude, at all frequencies."""
+    return coded(d, "fixes", "seq", sines("radians(lon)", gpe_frequencies(32), "") + sines("radians(lat)", gpe_frequencies(32), ""))
 
 
 @query("points")
 def encode_torus(d):
-    xs = geometric(200.0, 5000.0, 4)
-    return _ladder_query(d, "points", "x", xs, "2e0*pi()/f.f", "x") + " UNION ALL " + _ladder_query(d, "points", "y", xs, "2e0*pi()/f.f", "y")
+    return coded(d, "points", "seq", torus_code())
 
 
 @query("points")
 def encode_space2vec(d):
     """Three directions 120 degrees apart."""
-    xs = geometric(50.0, 50000.0, 4)
-    return " UNION ALL ".join(_ladder_query(d, "points", f"({math.cos(a)!r}*x + {math.sin(a)!r}*y)", xs, "2e0*pi()/f.f", f"d{k}") for k, a in enumerate((0.0, 2 * math.pi / 3, 4 * math.pi / 3)))
+    return coded(d, "points", "seq", [c for a in (0.0, 2 * math.pi / 3, 4 * math.pi / 3) for c in sines(f"{math.cos(a)!r}*x + {math.sin(a)!r}*y", geometric(50.0, 50000.0, 4))])
 
 
 @query("steps")
 def encode_disp(d):
-    """Radial ladder, and angular harmonics gated by r / hypot(r, 5 m)."""
-    radial = _ladder_query(d, "steps", "r", geometric(50.0, 5000.0, 4), "2e0*pi()/f.f", "r")
-    gate = f"r/{d.dist('r', '5e0')}"
-    return radial + f" UNION ALL SELECT seq, h.h_i AS scale_i, {d.r(f'{gate}*sin(h.h*psi)')} AS s, {d.r(f'{gate}*cos(h.h*psi)')} AS c, 'psi' AS axis FROM steps CROSS JOIN {d.values('h', [1.0, 2.0, 3.0, 4.0])} AS h WHERE r IS NOT NULL"
+    return coded(d, "steps", "seq", disp_code(), "r IS NOT NULL")
+
+
+@query("steps")
+def encode_radial(d):
+    """The invariant part of the displacement code alone."""
+    return coded(d, "steps", "seq", disp_code()[: 2 * len(RADIAL)], "r IS NOT NULL")
 
 
 @query("steps")
 def encode_speed(d):
-    xs = geometric(0.1, 5.0, 4)
-    return _ladder_query(d, "steps", "ln(1e0 + v)", xs, "2e0*pi()/f.f", "speed") + " UNION ALL " + _ladder_query(d, "steps", "ln(1e0 + dth*3600e0)", xs, "2e0*pi()/f.f", "dt")
+    return coded(d, "steps", "seq", speed_code(), "r IS NOT NULL")
 
 
 @query("fixes")
 def encode_time(d):
-    hour, dow = d.mod("t", "24e0"), d.mod("floor(t/24e0)", "7e0")
-    return _ladder_query(d, "fixes", f"({hour})", [1.0, 2.0, 3.0, 4.0], "2e0*pi()*f.f/24e0", "hour") + " UNION ALL " + _ladder_query(d, "fixes", f"({dow})", [1.0, 2.0, 3.0], "2e0*pi()*f.f/7e0", "dow")
+    return coded(d, "fixes", "seq", time_code(d))
+
+
+def token_code(d):
+    """Place, displacement, speed and time together; what needs a step before is 0 in a trip's first row."""
+    return torus_code() + [f"coalesce({x}, 0e0)" for x in disp_code() + speed_code()] + time_code(d)
+
+
+@query("steps")
+def tokens(d):
+    return coded(d, "steps", "uid, seg, i", token_code(d))
+
+
+@step("steps")
+def token_rows(d):
+    return f"SELECT uid, seg, i, {', '.join(f'{x} AS e{k}' for k, x in enumerate(token_code(d)))} FROM steps"
+
+
+@query("token_rows")
+def pooled_tokens(d):
+    """Mean and deviation of every dimension over each trip."""
+    n = len(token_code(d))
+    return f"SELECT uid, seg, {', '.join(f'{d.r(f"avg(e{k})")} AS m{k}' for k in range(n))}, {', '.join(f'{d.r(f"sqrt(greatest(avg(e{k}*e{k}) - avg(e{k})*avg(e{k}), 0e0))", 5)} AS s{k}' for k in range(n))} FROM token_rows GROUP BY uid, seg"
+
+
+@query("token_rows")
+def standardised_tokens(d):
+    """Every dimension by its mean and deviation over the whole corpus; the moments are one row, joined back."""
+    n = len(token_code(d))
+    moments = ", ".join(f"avg(e{k}) AS m{k}, sqrt(greatest(avg(e{k}*e{k}) - avg(e{k})*avg(e{k}), 0e0)) + 1e-6 AS s{k}" for k in range(n))
+    return f"SELECT t.uid, t.seg, t.i, {', '.join(f'{d.r(f"(t.e{k} - m.m{k})/m.s{k}", 4)} AS z{k}' for k in range(n))} FROM token_rows AS t CROSS JOIN (SELECT {moments} FROM token_rows) AS m"
 
 
 @query("fixes")
@@ -165,23 +229,30 @@ def grid_embed(d):
     return f"SELECT seq, {d.r('floor(x/150e0)*150e0/1000e0')} AS x_km, {d.r('floor(y/150e0)*150e0/1000e0')} AS y_km FROM centred"
 
 
-@query("centred")
+@step("centred")
+def patchwork_tiles(d):
+    return f"SELECT tx, ty, {d.clip('1e0/sqrt(n/4e6 + 1e-12)', '100e0', '5000e0')} AS lam FROM (SELECT {d.floor('x/2000e0')} AS tx, {d.floor('y/2000e0')} AS ty, count(*) AS n FROM centred GROUP BY {d.floor('x/2000e0')}, {d.floor('y/2000e0')}) AS g"
+
+
+@query("patchwork_tiles")
 def patchwork_scales(d):
     """A wavelength for each 2 km tile from its density; the median is the default."""
-    return f"""SELECT tx, ty, {d.r(d.clip('1e0/sqrt(n/4e6 + 1e-12)', '100e0', '5000e0'), 4)} AS lam, {d.r('median(' + d.clip('1e0/sqrt(n/4e6 + 1e-12)', '100e0', '5000e0') + ') OVER ()', 4)} AS lam_default
-      FROM (SELECT {d.floor('x/2000e0')} AS tx, {d.floor('y/2000e0')} AS ty, count(*) AS n FROM centred GROUP BY {d.floor('x/2000e0')}, {d.floor('y/2000e0')}) AS g"""
+    return f"SELECT t.tx, t.ty, {d.r('t.lam', 4)} AS lam, {d.r('m.lam', 4)} AS lam_default FROM patchwork_tiles AS t CROSS JOIN (SELECT median(lam) AS lam FROM patchwork_tiles) AS m"
 
 
-@query("points")
-def pooled_tokens(d):
-    xs = geometric(200.0, 5000.0, 4)
-    return f"SELECT uid, seg, f.f_i AS dim, {d.r('avg(sin(2e0*pi()*x/f.f))')} AS mean_s, {d.r('stddev_pop(sin(2e0*pi()*x/f.f))')} AS std_s FROM points CROSS JOIN {d.values('f', xs)} AS f GROUP BY uid, seg, f.f_i"
+@query("centred", "patchwork_tiles")
+def encode_patchwork(d):
+    """Tile and two harmonics of the place at its tile's wavelength; where no tile is known, at the default."""
+    lam = "coalesce(p.lam, (SELECT median(lam) FROM patchwork_tiles))"
+    codes = [f"{f}(2e0*pi()*{m}e0*{v}/q.lam)" for v in "xy" for m in (1, 2) for f in ("sin", "cos")]
+    return f"SELECT seq, tx, ty, {', '.join(f'{d.r(x)} AS e{k}' for k, x in enumerate(codes))} FROM (SELECT c.seq, c.x, c.y, c.tx, c.ty, {lam} AS lam FROM (SELECT *, {d.floor('x/2000e0')} AS tx, {d.floor('y/2000e0')} AS ty FROM centred) AS c LEFT JOIN patchwork_tiles AS p ON c.tx = p.tx AND c.ty = p.ty) AS q"
 
 
 @step("points")
 def torus(d):
+    """Tokens of 16 by 16 phases of a 1 km torus; places are taken to the micrometre, so that no engine's last bit decides."""
     bx, by = (d.mod(d.floor(d.mod(f"{v}/1000e0", "1e0") + "*16"), "16") for v in "xy")
-    return f"SELECT uid, seg, seq, x, y, {bx}*16 + {by} AS token FROM points"
+    return f"SELECT uid, seg, seq, x, y, {bx}*16 + {by} AS token FROM (SELECT uid, seg, seq, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y FROM points) AS p"
 
 
 @query("torus")

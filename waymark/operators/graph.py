@@ -8,8 +8,14 @@ from .trips import UNIFORM
 
 
 @step("centred")
+def occupied(d):
+    return f"SELECT {d.floor('x/1000e0')} AS cx, {d.floor('y/1000e0')} AS cy, count(*) AS n FROM centred GROUP BY {d.floor('x/1000e0')}, {d.floor('y/1000e0')} HAVING count(*) >= 2"
+
+
+@step("occupied")
 def vertices(d):
-    return f"SELECT cx, cy, n, CAST(row_number() OVER (ORDER BY cx, cy) - 1 AS BIGINT) AS id FROM (SELECT {d.floor('x/1000e0')} AS cx, {d.floor('y/1000e0')} AS cy, count(*) AS n FROM centred GROUP BY {d.floor('x/1000e0')}, {d.floor('y/1000e0')} HAVING count(*) >= 2) AS g"
+    """Cells with two fixes or more, numbered by cx and cy: those of smaller cx are counted by columns, of which the globe has 40,000."""
+    return "SELECT o.cx, o.cy, o.n, CAST(c.before + row_number() OVER (PARTITION BY o.cx ORDER BY o.cy) - 1 AS BIGINT) AS id FROM occupied AS o JOIN (SELECT cx, sum(m) OVER (ORDER BY cx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS before FROM (SELECT cx, count(*) AS m FROM occupied GROUP BY cx) AS k) AS c ON o.cx = c.cx"
 
 
 @query("vertices")
@@ -117,7 +123,8 @@ def passed(d):
 
 @query("walks")
 def skipgram_pairs(d):
-    return "SELECT a.id AS centre, b.id AS context, count(*) AS n FROM walks AS a JOIN walks AS b ON a.uid = b.uid AND b.k BETWEEN a.k - 5 AND a.k + 5 AND a.k <> b.k GROUP BY a.id, b.id"
+    """Vertices within five places of each other in a walk, met by user and place."""
+    return f"SELECT a.id AS centre, b.id AS context, count(*) AS n FROM (SELECT uid, id, k + o AS place FROM walks CROSS JOIN (SELECT o FROM (SELECT {d.series(-5, 5)} AS o) AS s WHERE o <> 0) AS w) AS a JOIN walks AS b ON a.uid = b.uid AND b.k = a.place GROUP BY a.id, b.id"
 
 
 # ---- injected anomalies
@@ -158,6 +165,37 @@ def teleport_inject(d):
     return f"SELECT seq, {d.r('CASE WHEN i >= n/2e0 THEN x + 5000e0 ELSE x END', 4)} AS x, {d.r('CASE WHEN i >= n/2e0 THEN y - 3000e0 ELSE y END', 4)} AS y FROM points WHERE n >= 6"
 
 
-@query("scored")
-def anomaly_set(d):
-    return "SELECT kind, count(*) AS n FROM scored GROUP BY kind"
+@query("aligned", "asked")
+def spatial_truth(d):
+    """TP distances within the query set, each pair worked out once and mirrored."""
+    one = "SELECT p.u1, p.s1, p.u2, p.s2, avg(p.c) AS c, avg(abs(p.t1 - p.t2)) AS h FROM aligned AS p JOIN asked AS q ON p.u2 = q.uid AND p.s2 = q.seg WHERE p.u1 < p.u2 OR (p.u1 = p.u2 AND p.s1 < p.s2) GROUP BY p.u1, p.s1, p.u2, p.s2"
+    return f"SELECT u1, s1, u2, s2, {d.r('c', 3)} AS cost, {d.r('h', 5)} AS hours FROM ({one}) AS a UNION ALL SELECT u2, s2, u1, s1, {d.r('c', 3)}, {d.r('h', 5)} FROM ({one}) AS b"
+
+
+WALK_STEPS, WALK_P, WALK_Q = 4, 0.5, 2.0
+
+
+def _walk(k):
+    def f(d):
+        before = f"walk{k - 1}"
+        bias = f"CASE WHEN e.dst = w.prev THEN {1 / WALK_P!r} WHEN n.src IS NOT NULL OR w.prev IS NULL THEN 1e0 ELSE {1 / WALK_Q!r} END"
+        draw = f"-ln(greatest({UNIFORM(f'w.start*1009 + e.dst*31 + {k}', 48271)}, 1e-12))/({bias})"
+        return f"SELECT start, {k} AS k, cur AS prev, nxt AS cur FROM (SELECT w.start, w.cur, e.dst AS nxt, row_number() OVER (PARTITION BY w.start ORDER BY {draw}, e.dst) AS r FROM {before} AS w JOIN induced_edges AS e ON w.cur = e.src LEFT JOIN induced_edges AS n ON n.src = w.prev AND n.dst = e.dst) AS c WHERE r = 1"
+
+    f.__name__ = f"walk{k}"
+    step(f"walk{k - 1}", "induced_edges")(f)
+
+
+@step("vertices")
+def walk0(d):
+    return "SELECT id AS start, 0 AS k, CAST(NULL AS BIGINT) AS prev, id AS cur FROM vertices"
+
+
+for _k in range(1, WALK_STEPS + 1):
+    _walk(_k)
+
+
+@query(*(f"walk{k}" for k in range(WALK_STEPS + 1)))
+def random_walks(d):
+    """A second-order walk from every vertex: back with weight 1/p, to a common neighbour with 1, elsewhere with 1/q; drawn by hashes, one join for each step."""
+    return " UNION ALL ".join(f"SELECT start, k, cur FROM walk{k}" for k in range(WALK_STEPS + 1))

@@ -52,7 +52,7 @@ def _alignments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m[:, i, j].mean(1), (m.min(2).mean(1) + m.min(1).mean(1)) / 2
 
 
-def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None = 500.0, aligned: bool = False) -> DataFrame:
+def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None = None, aligned: bool = False) -> DataFrame:
     """The keys of each pair, lcrs, neterp of its grid of point costs: 1 - LCS / min length, and edit distance with real penalties (the mean cost without gap_m); with `aligned` also tp and dita."""
     names = ["lcrs", "neterp", *["tp", "dita"][: 2 * aligned]]
     keys = [x for x in pairs.columns if x not in ("i", "j", "c")]
@@ -127,8 +127,8 @@ def synthetic(spark: SparkSession, n: int = 200, n_steps: int = 40, seed: int =
     return spark.range(n).mapInPandas(run, "traj_id long, i long, t double, x double, y double")
 
 
-def geometric_median(points: DataFrame, rounds: int = 200, tol_m: float = 1e-4) -> tuple[float, float]:
-    """Weiszfeld's iteration; each round is one aggregation, only two numbers come back."""
+def geometric_median(points: DataFrame, rounds: int = 1000, tol_m: float = 1e-5) -> tuple[float, float]:
+    """Weiszfeld's iteration; each round is one aggregation, only two numbers come back. Where the rounds don't suffice it raises."""
     p = points.select("x", "y").persist()
     x, y = p.agg(F.avg("x"), F.avg("y")).first()
     for _ in range(rounds):
@@ -137,6 +137,6 @@ def geometric_median(points: DataFrame, rounds: int = 200, tol_m: float = 1e-4)
         moved = abs(sx / s - x) + abs(sy / s - y)
         x, y = sx / s, sy / s
         if moved < tol_m:
-            break
-    p.unpersist()
-    return x, y
+            p.unpersist()
+            return x, y
+    raise ValueError(f"the median still moves by {moved} m after {rounds} rounds")

@@ -101,11 +101,17 @@ def odd_even_split(d):
     return f"SELECT uid, seg, i % 2 AS half, count(*) AS n, {d.r('avg(lon)')} AS lon, {d.r('avg(lat)')} AS lat FROM trips GROUP BY uid, seg, i % 2"
 
 
-@query("points")
+@step("points")
+def targets(d):
+    """The first 70 per cent of each trip: how many points, where they end, and where the trip does."""
+    cut = d.trunc("0.7e0*n")
+    return f"SELECT * FROM (SELECT uid, seg, max({cut}) AS k, max_by(x, i) AS tx, max_by(y, i) AS ty, max_by(x, CASE WHEN i < {cut} THEN i END) AS ax, max_by(y, CASE WHEN i < {cut} THEN i END) AS ay FROM points GROUP BY uid, seg) AS p WHERE k >= 3"
+
+
+@query("targets")
 def prefix_target(d):
     """The last point as target, in metres from the end of the first 70 per cent."""
-    return f"""SELECT uid, seg, k, {d.r('tx - ax')} AS target_x, {d.r('ty - ay')} AS target_y FROM (SELECT uid, seg, max({d.trunc('0.7e0*n')}) AS k, max_by(x, i) AS tx, max_by(y, i) AS ty,
-      max_by(x, CASE WHEN i < {d.trunc('0.7e0*n')} THEN i END) AS ax, max_by(y, CASE WHEN i < {d.trunc('0.7e0*n')} THEN i END) AS ay FROM points GROUP BY uid, seg) AS p WHERE k >= 3"""
+    return f"SELECT uid, seg, k, {d.r('tx - ax')} AS target_x, {d.r('ty - ay')} AS target_y FROM targets"
 
 
 @query("steps")
@@ -128,8 +134,15 @@ def drop_points(d):
     return f"SELECT uid, seg, seq FROM trips WHERE i = 0 OR i = n - 1 OR {UNIFORM('seq', 48271)} > 0.1e0"
 
 
+def hash_ranks(d, source, *keys):
+    """source with k, the rank by h (a number from 0 to 1) and keys, and m, the number of rows: counted in 1,000 buckets, ranked within each."""
+    b = d.floor("least(h*1000e0, 999e0)")
+    return f"""SELECT s.*, CAST(c.before + row_number() OVER (PARTITION BY s.b ORDER BY s.h, {', '.join('s.' + x for x in keys)}) AS BIGINT) AS k, CAST(c.m AS BIGINT) AS m FROM (SELECT *, {b} AS b FROM ({source}) AS x) AS s
+      JOIN (SELECT b, sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before, sum(n) OVER () AS m FROM (SELECT {b} AS b, count(*) AS n FROM ({source}) AS y GROUP BY {b}) AS g) AS c ON s.b = c.b"""
+
+
 def UNIFORM(key, m):  # noqa: N802  a portable pseudo-random number from an integer
-    return f"(CAST(((({key}*1103515245 + 12345) % 2147483648)*{m} + 7) % 2147483647 AS DOUBLE)/2147483647e0)"
+    return f"(CAST(((((CAST({key} AS BIGINT) % 2147483648)*1103515245 + 12345) % 2147483648)*{m} + 7) % 2147483647 AS DOUBLE)/2147483647e0)"
 
 
 @query("trip_rows")
@@ -151,13 +164,14 @@ def day_split(d):
 @query("trip_rows")
 def user_disjoint_split(d):
     """Users are ranked by a hash; the first 80 per cent train."""
-    return f"""SELECT r.uid, r.seg, u.k <= greatest({d.trunc('0.8e0*u.m')}, 1) AS train FROM trip_rows AS r JOIN (SELECT uid, CAST(row_number() OVER (ORDER BY h, uid) AS BIGINT) AS k, count(*) OVER () AS m
-      FROM (SELECT DISTINCT uid, {UNIFORM('uid', 69621)} AS h FROM trip_rows) AS s) AS u ON r.uid = u.uid"""
+    users = f"SELECT DISTINCT uid, {UNIFORM('uid', 69621)} AS h FROM trip_rows"
+    return f"SELECT r.uid, r.seg, u.k <= greatest({d.trunc('0.8e0*u.m')}, 1) AS train FROM trip_rows AS r JOIN ({hash_ranks(d, users, 'uid')}) AS u ON r.uid = u.uid"
 
 
 @query("trip_rows")
 def last_n_split(d):
-    return "SELECT uid, seg, k <= 50 AS test FROM (SELECT uid, seg, row_number() OVER (ORDER BY t0 DESC, uid DESC, seg DESC) AS k FROM trip_rows) AS q"
+    """The last 50 trips are the test; the rest by an anti join, so that nothing but those 50 is sorted in one place."""
+    return "SELECT r.uid, r.seg, l.uid IS NOT NULL AS test FROM trip_rows AS r LEFT JOIN (SELECT uid, seg FROM trip_rows ORDER BY t0 DESC, uid DESC, seg DESC LIMIT 50) AS l ON r.uid = l.uid AND r.seg = l.seg"
 
 
 @query("trip_rows")
@@ -167,7 +181,9 @@ def min_trips_semijoin(d):
 
 @query("trip_rows")
 def seen_users_semijoin(d):
-    return "SELECT uid, seg FROM trip_rows AS r WHERE t0 > 480000e0 AND EXISTS (SELECT 1 FROM trip_rows AS p WHERE p.uid = r.uid AND p.t0 <= 480000e0)"
+    """The trips after the 80th percentile of starts whose user has one before it."""
+    cut = f"CROSS JOIN (SELECT {d.pct('t0', 0.8)} AS cut FROM trip_rows) AS c"
+    return f"SELECT r.uid, r.seg FROM trip_rows AS r {cut} WHERE r.t0 > c.cut AND EXISTS (SELECT 1 FROM (SELECT s.uid FROM trip_rows AS s {cut} WHERE s.t0 <= c.cut) AS p WHERE p.uid = r.uid)"
 
 
 @query("trip_rows")
@@ -178,3 +194,68 @@ def resume_antijoin(d):
 @query("trip_rows")
 def tul_majority(d):
     return f"SELECT {d.r('CAST(max(c) AS DOUBLE)/sum(c)')} AS majority_share, {d.r('1e0/count(*)')} AS random_share, count(*) AS users FROM (SELECT uid, count(*) AS c FROM trip_rows GROUP BY uid) AS q"
+
+
+# ---- more splits; every one by a hash of the key that must not be torn apart
+
+
+@query("trip_rows")
+def trip_split(d):
+    """Whole trips by a hash: all windows of a trip stay together."""
+    return f"SELECT uid, seg, {UNIFORM('uid*1000 + seg', 48271)} < 0.8e0 AS train FROM trip_rows"
+
+
+@query("trips")
+def window_split(d):
+    """Windows follow their trip."""
+    return f"SELECT seq, {UNIFORM('uid*1000 + seg', 48271)} < 0.8e0 AS train FROM trips"
+
+
+@query("trip_rows")
+def user_or_trip_split(d):
+    """By user, and by trip where the user is unknown."""
+    key = "CASE WHEN uid IS NULL THEN seg ELSE uid*1000003 END"
+    return f"SELECT uid, seg, {UNIFORM(key, 69621)} < 0.8e0 AS train FROM trip_rows"
+
+
+@query("trip_rows")
+def capped_split(d):
+    """A user split with at most 100 training and 50 test trips, those least by a hash."""
+    half = lambda sign, n: f"(SELECT uid, seg, {sign} AS train FROM trip_rows WHERE ({UNIFORM('uid', 69621)} < 0.8e0) = {sign} ORDER BY {UNIFORM('uid*1000 + seg', 48271)}, uid, seg LIMIT {n})"
+    return f"SELECT * FROM {half('true', 100)} AS a UNION ALL SELECT * FROM {half('false', 50)} AS b"
+
+
+@query("trip_rows")
+def index_split(d):
+    """Item numbers of (trip, label) pairs, by the hash of the user."""
+    return f"SELECT uid, seg, label, CASE WHEN {UNIFORM('uid', 16807)} < 0.7e0 THEN 'train' ELSE 'test' END AS part FROM trip_rows WHERE label IS NOT NULL"
+
+
+@query("trip_rows")
+def holdout_split(d):
+    """A tenth of the training users is held out for validation."""
+    return f"SELECT uid, seg, CASE WHEN {UNIFORM('uid', 69621)} >= 0.8e0 THEN 'test' WHEN {UNIFORM('uid', 16807)} < 0.1e0 THEN 'valid' ELSE 'train' END AS part FROM trip_rows"
+
+
+@query("trip_rows")
+def similarity_split(d):
+    """The last 30 trips are the test, the 20 before them validate."""
+    return f"SELECT r.uid, r.seg, CASE WHEN l.k <= 30 THEN 'test' WHEN l.k <= 50 THEN 'valid' ELSE 'train' END AS part FROM trip_rows AS r LEFT JOIN (SELECT uid, seg, row_number() OVER (ORDER BY t0 DESC, uid DESC, seg DESC) AS k FROM (SELECT * FROM trip_rows ORDER BY t0 DESC, uid DESC, seg DESC LIMIT 50) AS a) AS l ON r.uid = l.uid AND r.seg = l.seg"
+
+
+@query("trip_rows")
+def max_trips(d):
+    """The first 100 trips of the corpus."""
+    return "SELECT uid, seg FROM trip_rows ORDER BY t0, uid, seg LIMIT 100"
+
+
+@query("trip_rows")
+def length_batches(d):
+    """Trips of like length in batches of eight."""
+    return f"SELECT uid, seg, n, {d.floor('(k - 1)/8e0')} AS batch FROM (SELECT uid, seg, n, row_number() OVER (PARTITION BY n ORDER BY uid, seg) AS k FROM trip_rows) AS q"
+
+
+@query("trip_rows")
+def corpus_union(d):
+    """Training and test trips as one corpus, with where each is from."""
+    return f"SELECT uid, seg, 'train' AS part FROM trip_rows WHERE {UNIFORM('uid', 69621)} < 0.8e0 UNION ALL SELECT uid, seg, 'test' FROM trip_rows WHERE {UNIFORM('uid', 69621)} >= 0.8e0"

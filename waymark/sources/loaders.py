@@ -64,7 +64,7 @@ def geolife(spark: SparkSession, root: str, utc_offset_h: float = 8) -> DataFram
 
 
 # Travel modes of the labels by the class they count as.
-MODES = {"walk": "walk", "run": "walk", "bike": "bike", "bus": "bus", "car": "car", "taxi": "car", "motorcycle": "car", "subway": "rail", "train": "rail", "airplane": "other", "boat": "other"}
+MODES = {"walk": "walk", "run": "walk", "bike": "bike", "bus": "bus", "taxi": "car", "car": "car", "subway": "rail", "train": "rail", "railway": "rail", "airplane": "other", "boat": "other", "motorcycle": "other"}
 
 
 def geolife_labels(spark: SparkSession, root: str, utc_offset_h: float = 8) -> DataFrame:
