@@ -7,10 +7,13 @@ filtered. Offsets of naive clocks are dropped, never converted.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import segments
+
 HOURS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {0}) / 3.6e9"
 # Column names that stand for one meaning, the first match wins.
 SYNONYMS = {
@@ -103,9 +106,55 @@ def commute_csv(spark: SparkSession, path: str, schema: dict[str, str] | None =
     return fixes.groupBy("uid", "trip", "t").agg(F.min(F.struct("lon", "lat")).alias("p")).select("uid", "trip", "t", "p.lon", "p.lat")
 
 
+def trips(fixes: DataFrame, gap_h: float, min_len: int = 20, max_len: int = 200, overlap: int = 100, max_trips: int | None = None, max_speed_kmh: float | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Windows of a loader's fixes: uid, seg, start, i, t, lon, lat, and mode where labels are given; of at most max_trips windows evenly many of each user."""
+    rows = segments.windows(segments.cut(segments.one_of_an_instant(fixes), gap_h, max_speed_kmh), min_len, max_len, overlap)
+    if max_trips is None and labels is None:
+        return rows
+    spans = segments.spans_of(rows)
+    if labels is not None:
+        spans = segments.labelled(spans, labels)
+    if max_trips is not None:
+        spans = segments.even_quota(spans, max_trips)
+    keys = [c for c in spans.columns if c not in ("n", "t0", "t1", "mode")]
+    return rows.join(spans.drop("n", "t0", "t1"), keys)
+
+
+#: Hours without a fix that end a trip, by layout.
+GAPS_H = {"tdrive": 0.5, "geolife": 20 / 60, "roma": 1 / 60, "ais": 1.0, "csv": 10 / 60}
 LOADERS = {"porto": porto, "tdrive": tdrive, "geolife": geolife, "roma": roma, "ais": ais, "csv": commute_csv}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def status(spark: SparkSession, name: str, path: str | None) -> str:
+    """ready, or why a corpus can't be read."""
+    if name not in LOADERS:
+        return "unknown"
+    return "no path" if not path else "ready" if exists(spark, path) else f"nothing at {path}"
+
+
+def load_available(spark: SparkSession, paths: dict[str, str], required: int = 1, **options) -> tuple[DataFrame, dict[str, str]]:
+    """The fixes of all corpora that are there, with a column dataset, and why the others are not; fewer than `required` are an error."""
+    found, skipped = [], {}
+    for name, path in paths.items():
+        why = status(spark, name, path)
+        if why == "ready":
+            try:
+                df = load(spark, name, path, **options)
+                found.append(df.select(F.lit(name).alias("dataset"), F.col("uid").cast("string").alias("uid"), "t", "lon", "lat"))
+                continue
+            except ValueError as e:
+                why = str(e)
+        skipped[name] = why
+    if len(found) < required:
+        raise ValueError(f"{len(found)} corpora of {required}: {skipped}")
+    return reduce(DataFrame.unionByName, found), skipped
+
+
 def load(spark: SparkSession, name: str, path: str, box: tuple[float, float, float, float] | None = None, **options) -> DataFrame:
     """The named corpus within a box (lon0, lat0, lon1, lat1); an empty one is an error."""
     if name not in LOADERS:
