@@ -7,9 +7,11 @@ no worker holds the whole model):
   pairs-S.k, pairs-S.n   sorted keys (first id << 32 | second id) of one share of the bigrams, and their counts
   heads-S.k, heads-S.n   first ids of that share, with the sum of counts and the numbers of counts 1, 2 and 3+
   before-S               for a range of ids, the number of distinct tokens that stand before each
-Bigrams are dealt by their first token; first tokens that hold over half a share's bigrams ("the") are dealt by
-both, and their sums are merged. Each partition counts its own bigrams before anything is shuffled, and keys
-travel as compressed differences. Vocabulary, counts and discounts cover every training text.
+  hot.k, hot.n           the ids of the hot first tokens, and their sums
+Bigrams are dealt by their first token; hot first tokens, which hold over half a share's bigrams ("the"), are dealt
+by both, and their sums are merged. Each partition counts its own bigrams before anything is shuffled, and keys
+travel as compressed differences. Vocabulary, counts and discounts cover every training text. The driver and the
+broadcast hold sizes, discounts and one number for each 2^19 distinct tokens; all else is in the files.
 
 P(w | v) = (c(v w) - D(c)) / c(v .) + g(v) P1(w), P1(w) = (b(w) - D1(b)) / B + g1 / (V + 1), b(w) the distinct
 tokens before w, B their sum; D has three values by the counts of counts, as in Chen and Goodman. A text ends
@@ -58,12 +60,14 @@ def write_array(path: str, x: np.ndarray) -> None:
     store.move(part, at)
 
 
-def read_array(path: str) -> np.ndarray:
-    """The array memory-mapped; from a remote store by way of a local file that is unlinked at once."""
+def read_array(path: str) -> np.ndarray | None:
+    """The array memory-mapped; from a remote store by way of a local file that is unlinked at once, so nothing of it is left to others. None if there is none."""
     import os
     import tempfile
 
     store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return None
     if isinstance(store, fs.LocalFileSystem):
         return np.load(at, mmap_mode="r")
     f, local = tempfile.mkstemp()
@@ -112,7 +116,8 @@ class Shards:
     def __init__(self, folder: str):
         self.folder, self.open = folder, {}
 
-    def __getitem__(self, name: str) -> np.ndarray:
+    def __getitem__(self, name: str) -> np.ndarray | None:
+        """The array of this name; None for a share that nothing was dealt to."""
         if name not in self.open:
             self.open[name] = read_array(f"{self.folder}/{name}.npy")
         return self.open[name]
@@ -124,6 +129,7 @@ class Words:
     def __init__(self, folder: str, shift: int, ranges: list[tuple[int, int, int]]):
         self.shards, self.shift, self.known = Shards(folder), shift, {}
         self.ranges = {s: (start, n) for s, start, n in ranges}
+        self.names, self.starts = [s for s, _, _ in ranges], np.array([start for _, start, _ in ranges], np.int64)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         known = self.known
@@ -146,10 +152,10 @@ class Words:
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
-        for s, (start, n) in self.ranges.items():
-            at = np.flatnonzero((ids >= start) & (ids < start + n))
-            if len(at):
-                out[at] = self.shards[f"words{s}.n"][ids[at] - start]
+        of = np.searchsorted(self.starts, ids, "right") - 1
+        for k in np.unique(of[ids >= 0]).tolist():
+            at = np.flatnonzero((of == k) & (ids >= 0))
+            out[at] = self.shards[f"words{self.names[k]}.n"][ids[at] - self.starts[k]]
         return out
 
 
@@ -184,11 +190,18 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 class Model:
-    """What all workers need to know of the files: sizes, discounts, and the sums of the hot first tokens (a bounded number)."""
+    """What all workers need to know of the files: where they are, sizes and discounts."""
 
     def __init__(self, **known):
         self.__dict__ |= known
 
+    def shards(self) -> Shards:
+        return _open.setdefault(f"{self.folder} pairs", Shards(self.folder))
+
+    @property
+    def hot(self) -> np.ndarray:
+        return self.shards()["hot.k"]
+
     def words(self) -> Words:
         return _open.setdefault(f"{self.folder} words", Words(self.folder, self.shift, self.ranges))
 
@@ -211,7 +224,7 @@ class Model:
         """log10 P(second | first) by ids; distinct bigrams are looked up once, in order."""
         if not self.v:
             return np.zeros(len(first))
-        shards = _open.setdefault(f"{self.folder} pairs", Shards(self.folder))
+        shards = self.shards()
         p = self.first_part(second, shards)
         known = np.flatnonzero(first >= 0)
         if len(known):
@@ -221,10 +234,9 @@ class Model:
             keys = f.astype(np.uint64) << np.uint64(32) | np.where(s < 0, 0xFFFFFFFF, s).astype(np.uint64)
             d = np.array(self.d2)
             for k in np.unique(shares).tolist():
-                if k not in self.there:
+                at, have = np.flatnonzero(shares == k), shards[f"pairs{k}.k"]
+                if have is None:
                     continue
-                at = np.flatnonzero(shares == k)
-                have = shards[f"pairs{k}.k"]
                 place = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
                 c[at] = np.where(have[place] == keys[at], shards[f"pairs{k}.n"][place], 0)
                 heads = shards[f"heads{k}.k"]
@@ -234,8 +246,8 @@ class Model:
                     total[at], left[at] = row[:, 0], row[:, 1:] @ d
             at = np.flatnonzero(np.isin(f, self.hot))
             if len(at):
-                place = np.searchsorted(self.hot, f[at])
-                total[at], left[at] = self.hot_rows[place, 0], self.hot_rows[place, 1:] @ d
+                rows = shards["hot.n"][np.searchsorted(self.hot, f[at])]
+                total[at], left[at] = rows[:, 0], rows[:, 1:] @ d
             seen = total > 0
             d0 = np.array([0.0, *self.d2])
             total = np.maximum(total, 1)
@@ -275,19 +287,24 @@ def train(docs: DataFrame) -> Model:
     cut = F.shiftright("h", shift)
     got = sorted((x["s"], x["m"]) for x in words.withColumn("s", cut.cast("long")).groupBy("s").applyInArrow(write_words, "s long, m long").collect())
     starts = np.cumsum([0, *(m for _, m in got)])
-    m = Model(folder=folder, v=v, n=n, shift=shift, ranges=[(s, int(a), c) for (s, c), a in zip(got, starts)], shares=max(1, math.ceil(n / SHARE_TOKENS)), hot=np.empty(0, np.int64), hot_rows=np.empty((0, 4)), there=set(), d1=(0.5, 0.75, 0.9), d2=(0.5, 0.75, 0.9), types=0, left1=0.0)
+    m = Model(folder=folder, v=v, n=n, shift=shift, ranges=[(s, int(a), c) for (s, c), a in zip(got, starts)], shares=max(1, math.ceil(n / SHARE_TOKENS)), d1=(0.5, 0.75, 0.9), d2=(0.5, 0.75, 0.9), types=0, left1=0.0)
     if not v:
         return m
-    hot_hashes = [x["h"] for x in words.where(F.col("n") > max(n / m.shares / 2, 1)).select("h").collect()]  # under 2 * shares of them
-    lookup = Words(folder, shift, m.ranges)
-    hot = []
-    for h in hot_hashes:
-        start, size = lookup.ranges[h >> shift]
-        hot.append(start + int(np.searchsorted(lookup.shards[f"words{h >> shift}.h"], h)))
-    m.hot = np.array(sorted({*hot, v}), np.int64)  # v: the start sign
-    drop(words)
     sent = spark.sparkContext.broadcast(m)
 
+    def write_hot(batches):
+        lookup, found = sent.value.words(), [v]  # v: the start sign
+        for b in batches:
+            for h in b.column("h").drop_null().to_pylist():
+                start, _ = lookup.ranges[h >> shift]
+                found.append(start + int(np.searchsorted(lookup.shards[f"words{h >> shift}.h"], h)))
+        write_array(f"{folder}/hot.k.npy", np.array(sorted(found), np.int64))
+        yield pa.RecordBatch.from_pydict({"m": pa.array([len(found)], pa.int64())})
+
+    none = spark.range(1).select(F.lit(None).cast("long"))  # so that the task runs even where no token is hot
+    words.where(F.col("n") > max(n / m.shares / 2, 1)).select("h").unionAll(none).repartition(1).mapInArrow(write_hot, "m long").collect()
+    drop(words)
+
     def count_pairs(batches):
         model, held, counts, size = sent.value, [], [], 0
 
@@ -308,7 +325,7 @@ def train(docs: DataFrame) -> Model:
                 held.append(keys)
                 counts.append(c)
                 size += len(keys)
-                if size > 4 * BATCH_TOKENS:
+                if size > 2 * BATCH_TOKENS:
                     yield dealt()
                     held, counts, size = [], [], 0
         if held:
@@ -345,12 +362,19 @@ def train(docs: DataFrame) -> Model:
         write_array(f"{folder}/before{k}.npy", out.astype(np.uint32))
         return pa.table({"sums": pa.array([[int((out == c).sum()) for c in (1, 2, 3, 4)] + [int(out.sum()), int((out > 2).sum())]], pa.list_(pa.int64()))})
 
-    per_share = got.where("kind = 0").select("share", "sums").collect()
-    m.there = {x["share"] for x in per_share}
-    m.d2 = _discounts(np.sum([x["sums"] for x in per_share], 0).tolist())
-    hot_rows = {x["at"]: x["sums"] for x in got.where("kind = 1").groupBy("at").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(4))).alias("sums")).collect()}
-    m.hot_rows = np.array([hot_rows.get(int(h), [0] * 4) for h in m.hot], float)
-    ones = np.sum([x["sums"] for x in got.where("kind = 2").groupBy("at").applyInArrow(write_before, "sums array<long>").collect()], 0).tolist()
+    def write_hot_sums(batches):
+        hot = sent.value.hot
+        out = np.zeros((len(hot), 4))
+        for b in batches:
+            at = np.searchsorted(hot, b.column("at").to_numpy())
+            out[at] = np.array(b.column("sums").to_pylist(), float).reshape(-1, 4)
+        write_array(f"{folder}/hot.n.npy", out)
+        yield pa.RecordBatch.from_pydict({"m": pa.array([len(hot)], pa.int64())})
+
+    add = lambda k: F.array(*(F.sum(F.col("sums")[i]) for i in range(k))).alias("sums")
+    m.d2 = _discounts(got.where("kind = 0").agg(add(4)).first()[0])
+    got.where("kind = 1").groupBy("at").agg(add(4)).repartition(1).mapInArrow(write_hot_sums, "m long").collect()
+    ones = got.where("kind = 2").groupBy("at").applyInArrow(write_before, "sums array<long>").agg(add(6)).first()[0]
     m.d1, m.types = _discounts(ones[:4]), ones[4]
     m.left1 = m.d1[0] * ones[0] + m.d1[1] * ones[1] + m.d1[2] * ones[5]
     return m
