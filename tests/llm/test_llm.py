@@ -200,6 +200,17 @@ def test_lm_by_brute_force(spark):
         assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 1) / (sum(uni.values()) + v + 1)) for w in x), rel_tol=1e-9)
 
 
+def test_hashes_of_tokens():
+    """Equal words have equal hashes wherever they stand, others have not; every text ends with one end token."""
+    rng = random.Random(2)
+    texts = ["", " \t\n", "one Two one", "x" * 300 + " " + "x" * 299 + "y", "é\x0bé \u00a0é"] + [" ".join(rng.choice(("ab", "ba", "a", "b", "AB", "abab", "c" * 70, "c" * 71)) for _ in range(rng.randrange(9))) for _ in range(50)]
+    h, of, first = ngram_lm.hashed([t.encode() for t in texts])
+    want = [[*t.encode().lower().split(), None] for t in texts]
+    assert of.tolist() == [i for i, x in enumerate(want) for _ in x] and np.flatnonzero(first).tolist() == [*np.cumsum([0, *map(len, want[:-1])])]
+    flat = [w for x in want for w in x]
+    assert len({*zip(flat, h.tolist())}) == len({*flat}) == len({*h.tolist()})
+
+
 def test_packed_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 60, 1000).astype(np.uint64))
     assert (ngram_lm.unpacked(ngram_lm.packed(x)) == x).all()

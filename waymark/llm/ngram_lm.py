@@ -27,7 +27,6 @@ from __future__ import annotations
 import io
 import math
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +35,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop, each_batch, mixed, remainder, shared_path, stored, texts
+from .common import SPACES, as_bytes, drop, each_batch, mixed, remainder, shared_path, stored, texts
 
-END = b" "  # no word holds a blank
+END = 32  # the end token goes by the hash of a blank, which no word holds
 RANGE_WORDS = 1 << 19
 SHARE_TOKENS = 1 << 22
 BLOCK_IDS = 1 << 20
-#: Tokens that a worker counts or scores at once.
-BATCH_TOKENS = 1 << 20
-HELD = 300_000
+#: Bytes of text that a worker handles at once, distinct tokens or bigrams that it holds before it sends their counts on, and places in a word for which it holds its numbers.
+SLICE_BYTES, HELD, PLACES = 1 << 22, 1 << 21, 64
 _open: dict[str, object] = {}
+_tables: list[np.ndarray] = []
 
 
 def write_array(path: str, x: np.ndarray) -> None:
@@ -95,13 +94,6 @@ def _blobs(column) -> np.ndarray:
     return np.concatenate([unpacked(x) for x in column.to_pylist()]) if len(column) else np.empty(0, np.uint64)
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
-
-    x = xxhash.xxh3_64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's counts."""
     order = np.argsort(keys, kind="stable")
@@ -127,28 +119,23 @@ class Words:
     """Ids of tokens, -1 for those that training lacks."""
 
     def __init__(self, folder: str, shift: int, ranges: list[tuple[int, int, int]]):
-        self.shards, self.shift, self.known = Shards(folder), shift, {}
+        self.shards, self.shift = Shards(folder), shift
         self.ranges = {s: (start, n) for s, start, n in ranges}
         self.names, self.starts = [s for s, _, _ in ranges], np.array([start for _, start, _ in ranges], np.int64)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > HELD:
-            known.clear()
-        new = [w for w in {*words} if w not in known]
-        if new:
-            h = np.array([_hash(w) for w in new], np.int64)
-            order = np.argsort(h)
-            out, shard = np.full(len(h), -1, np.int64), h[order] >> self.shift
-            for s in np.unique(shard).tolist():
-                if s in self.ranges:
-                    at = order[shard == s]
-                    have = self.shards[f"words{s}.h"]
-                    place = np.searchsorted(have, h[at])
-                    hit = np.minimum(place, len(have) - 1)
-                    out[at] = np.where(have[hit] == h[at], self.ranges[s][0] + hit, -1)
-            known.update(zip(new, out.tolist()))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the distinct hashes, in order, and where each of h is among them."""
+        h, back = np.unique(h, return_inverse=True)
+        out = np.full(len(h), -1, np.int64)
+        shard = h >> self.shift
+        cuts = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1 if len(h) else 0))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+            s = int(shard[lo])
+            if s in self.ranges:
+                have = self.shards[f"words{s}.h"]
+                hit = np.minimum(np.searchsorted(have, h[lo:hi]), len(have) - 1)
+                out[lo:hi] = np.where(have[hit] == h[lo:hi], self.ranges[s][0] + hit, -1)
+        return out, back
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -159,28 +146,52 @@ class Words:
         return out
 
 
+def hashed(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all tokens of texts, end tokens among them, the text of each, and whether it is the first of its text.
+
+    A word's hash is the sum of random numbers for its bytes and their places, worked out for all words at once.
+    """
+    if not _tables:
+        space = np.zeros(256, bool)
+        space[list(SPACES)] = True
+        _tables.extend((space, mixed(np.arange(PLACES * 256), 41)))
+    space, numbers = _tables
+    k = len(texts_)
+    c = np.frombuffer(b"\n".join(texts_).lower(), np.uint8)
+    word = ~space[c]
+    begin = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+    size = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1 - begin
+    heads = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(heads, size)
+    at = (at << 8) + c[word]
+    far = np.flatnonzero(at >= PLACES << 8)
+    values = numbers[np.where(at < PLACES << 8, at, 0)] if len(far) else numbers[at]
+    values[far] = mixed(at[far], 41)
+    h = np.add.reduceat(values, heads).view(np.int64) if len(begin) else np.empty(0, np.int64)
+    offset = np.cumsum([0, *(len(t) + 1 for t in texts_[:-1])]) if k else np.empty(0, np.int64)
+    of = np.searchsorted(offset, begin, "right") - 1
+    sizes = np.bincount(of, minlength=k) + 1
+    out = np.empty(len(h) + k, np.int64)
+    out[np.arange(len(h)) + of] = h
+    out[np.cumsum(sizes) - 1] = numbers.view(np.int64)[END]
+    first = np.zeros(len(out), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return out, np.repeat(np.arange(k), sizes), first
+
+
 def _slices(batch: list[bytes]):
-    """Token lists of a batch, BATCH_TOKENS or so at once."""
+    """Texts of a batch, SLICE_BYTES or so at once."""
     held, n = [], 0
     for raw in batch:
-        held.append([*raw.lower().split(), END])
-        n += len(held[-1])
-        if n >= BATCH_TOKENS:
+        held.append(raw)
+        n += len(raw) + 1
+        if n >= SLICE_BYTES:
             yield held
             held, n = [], 0
     if held:
         yield held
 
 
-def _flat(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All tokens, the text of each, and whether it is the first of its text."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    of = np.repeat(np.arange(len(lists)), sizes)
-    first = np.zeros(len(of), bool)
-    first[np.cumsum(sizes) - sizes] = True
-    return [w for x in lists for w in x], of, first
-
-
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2 and D3+ from the numbers of counts 1 to 4; usual values where these are lacking."""
     if not all(n):
@@ -261,16 +272,16 @@ def train(docs: DataFrame) -> Model:
     folder = shared_path(spark, "lm")
 
     def count_words(batches):
-        held: Counter = Counter()
+        h, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            for lists in _slices(as_bytes(b.column("text"))):
-                for x in lists:
-                    held.update(x)
-                if len(held) > HELD:
-                    yield _word_rows(held)
-                    held = Counter()
-        if held:
-            yield _word_rows(held)
+            for part in _slices(as_bytes(b.column("text"))):
+                new, count = np.unique(hashed(part)[0], return_counts=True)
+                h, n = summed(np.concatenate((h, new)), np.concatenate((n, count)))
+                if len(h) > HELD:
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(h), "n": pa.array(n)})
+                    h, n = h[:0], n[:0]
+        if len(h):
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h), "n": pa.array(n)})
 
     words = stored(rows.mapInArrow(count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -317,15 +328,16 @@ def train(docs: DataFrame) -> Model:
             return pa.RecordBatch.from_pydict({"share": pa.array(share[order][cuts], pa.int64()), "keys": pa.array([packed(keys[p]) for p in parts], pa.binary()), "counts": pa.array([packed(c[p]) for p in parts], pa.binary())})
 
         for b in batches:
-            for lists in _slices(as_bytes(b.column("text"))):
-                flat, _, first = _flat(lists)
-                ids = model.words().ids(flat)
+            for part in _slices(as_bytes(b.column("text"))):
+                h, _, first = hashed(part)
+                ids, back = model.words().ids(h)
+                ids = ids[back]
                 before = np.where(first, model.v, np.concatenate(([0], ids[:-1])))
                 keys, c = np.unique(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
                 held.append(keys)
                 counts.append(c)
                 size += len(keys)
-                if size > 2 * BATCH_TOKENS:
+                if size > HELD:
                     yield dealt()
                     held, counts, size = [], [], 0
         if held:
@@ -380,10 +392,6 @@ def train(docs: DataFrame) -> Model:
     return m
 
 
-def _word_rows(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"h": pa.array([_hash(w) for w in held], pa.int64()), "n": pa.array([*held.values()], pa.int64())})
-
-
 def score(docs: DataFrame, model: Model, *more) -> DataFrame:
     """doc_id and `more`, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 probability), perplexity."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -392,19 +400,18 @@ def score(docs: DataFrame, model: Model, *more) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m, parts = sent.value, []
         words = m.words()
-        for lists in _slices(as_bytes(b.column("text"))):
-            flat, of, first = _flat(lists)
-            ids = words.ids(flat)
-            uniq, back = np.unique(ids, return_inverse=True)
-            c = words.counts(uniq)
+        for part in _slices(as_bytes(b.column("text"))):
+            h, of, first = hashed(part)
+            distinct, back = words.ids(h)
+            ids, c = distinct[back], words.counts(distinct)
             base = np.log10((c + 1) / (m.n + m.v + 1))[back]
             before = np.where(first, m.v, np.concatenate(([-1], ids[:-1])))
             keys, where = np.unique(before << 32 | ids & 0xFFFFFFFF, return_inverse=True)
             second = keys & 0xFFFFFFFF
             p = m.log_p(keys >> 32, np.where(second == 0xFFFFFFFF, -1, second))[where]
-            total = lambda x: np.bincount(of, x, len(lists))
-            n, log = np.bincount(of, minlength=len(lists)), total(p)
-            parts.append((n, total((c > 0)[back]).astype(np.int64), np.full(len(lists), m.n), total(base), log, 10 ** np.minimum(-log / n, 300)))
+            total = lambda x: np.bincount(of, x, len(part))
+            n, log = np.bincount(of, minlength=len(part)), total(p)
+            parts.append((n, total((c > 0)[back]).astype(np.int64), np.full(len(part), m.n), total(base), log, 10 ** np.minimum(-log / n, 300)))
         out = b.drop_columns(["text"])
         for name, col in zip(names, map(np.concatenate, zip(*parts))):
             out = out.append_column(name, pa.array(col, pa.float64() if col.dtype.kind == "f" else pa.int64()))
