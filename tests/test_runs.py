@@ -81,3 +81,25 @@ def test_example_table(spark, tmp_path):
     trips = loaders.trips(fixes, loaders.GAPS_H["csv"], 20, 60, 20)
     assert trips.select("trip").distinct().count() == 8
     assert loaders.commute_csv(spark, str(tmp_path / "c"), min_quality=6).count() == 0
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from waymark import __main__ as cli
+    from waymark import catalogue
+    from waymark.runs import commands
+
+    sf, out = "/root/testdata/sf0.001", str(tmp_path / "out")
+    known = catalogue.queries()
+    assert all(q in known for names in commands.COMMANDS.values() for q in names)
+    monkeypatch.setitem(commands.COMMANDS, "tokens", ("lattice_period", "no_such_query"))
+    assert commands.run_all(spark, sf, out, ("tokens", "compare")) == {"tokens": "failed: no_such_query", "compare": "done"}
+    got = json.loads((tmp_path / "out" / "tokens.json").read_text())
+    assert len(got["lattice_period"]) == 5 and "KeyError" in got["_run"]["failed"]["no_such_query"]
+    assert cli.main(["tidy", "--out", out, "--csv", str(tmp_path / "t.csv")]) == 0 and (tmp_path / "t.csv").read_text().count("lattice_period") == 15
+    assert commands.latex(out, "tokens", "lattice_period").count(r"\\") == 6
+    cli.main(["query", "hour_histogram", "--data", sf, "--out", str(tmp_path / "q"), "--format", "csv"], spark)
+    assert spark.read.option("header", True).csv(str(tmp_path / "q")).count() == known["hour_histogram"](spark, sf).count()
+    cli.main(["list"])
+    assert "command audit" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="audit"):
+        commands.run(spark, "audt", sf, out)

@@ -7,6 +7,8 @@ other dialect gives the oracle text for the same rows.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,15 +115,21 @@ def text(name: str, d: Dialect, prefix: str = "") -> str:
     return (f"WITH {ctes} " if ctes else "") + _steps[name][0](d)
 
 
+_READ = re.compile(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b")
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = text(name, Spark())
+    """The step over the tables of a folder; views go by table and folder, so that two folders in one session don't meet."""
     views = {}
-    for t in TABLES:
-        if f" {t}" in sql:
-            views[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    for t, df in views.items():
-        df.createOrReplaceTempView(t)
-    return spark.sql(sql)
+
+    def view(m: re.Match) -> str:
+        t = m[2]
+        if t not in views:
+            views[t] = f"waymark_{t}_{zlib.crc32(sf_dir.encode()):08x}"
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(views[t])
+        return f"{m[1]} {views[t]} AS {t}" if m.string[m.end() : m.end() + 4].upper() != " AS " else f"{m[1]} {views[t]}"
+
+    return spark.sql(_READ.sub(view, text(name, Spark())))
 
 
 def names() -> list[str]:
