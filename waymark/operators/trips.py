@@ -98,7 +98,7 @@ def duration_filter(d):
 
 @query("trips")
 def odd_even_split(d):
-    return f"SELECT uid, seg, i % 2 AS half, count(*) AS n, {d.r('avg(lon)')} AS lon, {d.r('avg(lat)')} AS lat FROM trips GROUP BY uid, seg, i % 2"
+    return f"SELECT uid, seg, i % 2 AS half, count(*) AS n, {d.r('avg(lon)', 9)} AS lon, {d.r('avg(lat)', 9)} AS lat FROM trips GROUP BY uid, seg, i % 2"
 
 
 @step("points")
