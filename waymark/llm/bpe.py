@@ -20,6 +20,7 @@ import hashlib
 import os
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -30,8 +31,8 @@ from .common import each_batch, texts
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 #: Characters that are encoded at once.
 SLICE_CHARS = 1 << 20
-#: Distinct matches whose ids a worker remembers, give or take a slice, and their length at most; longer ones are merged anew.
-KNOWN_MATCHES, KNOWN_CHARS = 300_000, 64
+#: Distinct matches whose ids a worker remembers, and their characters, give or take a slice.
+KNOWN_MATCHES, KNOWN_CHARS = 300_000, 1 << 23
 
 
 def byte_characters() -> list[str]:
@@ -56,9 +57,16 @@ class ByteBpe:
         self.matches = regex.compile(pattern).findall
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, list[int]] = {}
+        self.forget()
         back = {c: b for b, c in enumerate(to)}
-        self.bytes_of = {i: bytes(map(back.__getitem__, s)) for s, i in self.tokenizer.get_vocab().items()}
+        by_id = {i: bytes(map(back.__getitem__, s)) for s, i in self.tokenizer.get_vocab().items()}
+        self.bytes_of = [by_id.get(i) for i in range(max(by_id) + 1)]
+        self.text_of = [*map(str, range(len(self.bytes_of)))]
+
+    def forget(self) -> None:
+        """No match is known: what is held of one is its number, and the ids of all one after another."""
+        self.known: dict[str, int] = {}
+        self.chars, self.ids, self.size = 0, np.empty(0, np.int32), np.empty(0, np.int64)
 
     @staticmethod
     def _pair(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
@@ -72,17 +80,27 @@ class ByteBpe:
         """The ids of each text, or with offsets pairs of ids and character spans. Without them, each distinct match is merged once."""
         if offsets:
             return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
-        if len(self.known) > KNOWN_MATCHES:
-            self.known.clear()
+        ids, counts = self.encode_flat(batch)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if batch else []
+
+    def encode_flat(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        if len(self.known) > KNOWN_MATCHES or self.chars > KNOWN_CHARS:
+            self.forget()
         split = [self.matches(t) for t in batch]
         new = [x for x in set().union(*split) if x not in self.known]
-        here = dict(zip(new, (e.ids for e in self.merger.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.known.update(here)
-        out = [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in split]
-        for x in here:
-            if len(x) > KNOWN_CHARS:
-                del self.known[x]
-        return out
+        merged = [e.ids for e in self.merger.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(merged), np.int32)))
+        self.size = np.concatenate((self.size, np.fromiter(map(len, merged), np.int64, len(merged))))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        size = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        start = (np.cumsum(self.size) - self.size)[at]
+        ids = self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(n)))])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -149,12 +167,15 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) ->
     def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
         bpe, out, at = loaded(ranks_path, pattern), [], 0
         for part in slices(b.column("text").to_pylist()):
-            got = bpe.encode(part)
-            cols = {"doc_id": b.column("doc_id").slice(at, len(part)), "n_tokens": pa.array(map(len, got), pa.int64())}
-            cols["ids_sha256"] = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in got]
-            cols["decoded_sha256"] = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in got]
+            flat, counts = bpe.encode_flat(part)
+            ends, ids_sha, decoded_sha = np.cumsum(counts), [], []
+            for x, y in zip((ends - counts).tolist(), ends.tolist()):
+                own = flat[x:y].tolist()
+                ids_sha.append(hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, own)).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(bpe.decode(own)).hexdigest())
+            cols = {"doc_id": b.column("doc_id").slice(at, len(part)), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
             if ids:
-                cols["ids"] = pa.array(got, pa.list_(pa.int32()))
+                cols["ids"] = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(flat, pa.int32()))
             at += len(part)
             out.append(pa.RecordBatch.from_pydict(cols))
         return out
