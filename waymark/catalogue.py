@@ -79,7 +79,9 @@ def _ridge_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = segments.by_hash(rows, F.struct("uid", "seg"), 0.7)
     names = [c for c in pooled.columns if c not in ("uid", "seg")]
     targets = ("radius_of_gyration", "entropy", "total_distance", "mean_step", "centroid_dist", "heading_cos", "heading_sin")
-    return spark.createDataFrame([(t, fits.ridge_r2(rows, names, t, train)) for t in targets], "target string, r2 double")
+    found = [(t, fits.ridge_r2(rows, names, t, train)) for t in targets]
+    rows.unpersist()
+    return spark.createDataFrame(found, "target string, r2 double")
 
 
 def _procrustes_error(spark: SparkSession, sf_dir: str) -> DataFrame:

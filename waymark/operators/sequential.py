@@ -6,6 +6,7 @@ points; everything before and after is a declarative plan.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -76,10 +77,13 @@ def sequence_costs(pairs: DataFrame, hit_m: float = 200.0, gap_m: float | None =
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed, in a folder of this machine where none is set."""
+    """df checkpointed; where no folder is set, in one of this machine in local mode, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waymark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint()
 
 
