@@ -72,3 +72,35 @@ def test_streamed_sessions(spark, tmp_path):
     stream = sessions.sessions(sessions.from_files(spark, str(tmp_path / "in"), "uid long, ts timestamp"))
     got = sessions.run_available(stream, "held", str(tmp_path / "cp"))
     assert {r["n"] for r in got.collect()} == {2}
+
+
+def test_representations(spark):
+    import numpy as np
+
+    from waymark import plans
+    from waymark.functions import representations as rho
+    from waymark.operators import fits, geo, segments
+
+    assert math.isclose(rho.finest_wavelength_m(128), 38.18, abs_tol=0.01) and math.isclose(rho.finest_wavelength_m(256), 6.94, abs_tol=0.01)
+    code = lambda v, w: np.concatenate([[math.sin(v * f), math.cos(v * f)] for f in w])
+    torus = lambda x, y: np.concatenate([code(x, [2 * math.pi / s for s in geo.TORUS]), code(y, [2 * math.pi / s for s in geo.TORUS])])
+    assert np.allclose(rho.torus_rho(geo.TORUS, 30.0, -70.0) @ torus(12.0, 900.0), torus(42.0, 830.0))
+    lon, lat = math.radians(116.0), math.radians(40.0)
+    w = gpe_frequencies(64)
+    moved = np.concatenate([code(lon + 500 / (plans.EARTH_M * math.cos(lat)), w), code(lat, w)])
+    assert np.allclose(rho.gpe_rho(64, 500.0, 0.0, 40.0) @ np.concatenate([code(lon, w), code(lat, w)]), moved, atol=1e-7)
+    hour = lambda t: np.concatenate([f(2 * math.pi * np.array(ms) * x / n) for x, n, ms in ((t % 24, 24, (1, 2, 3, 4)), (math.floor(t / 24) % 7, 7, (1, 2, 3))) for f in (np.sin, np.cos)])
+    assert np.allclose(rho.hours_rho(48.0) @ hour(100.5), hour(148.5)) and np.allclose((rho.hours_rho(5.0) @ hour(30.0))[:8], hour(35.0)[:8])
+    turned = rho.displacement_rho(2, (1, 2), 0.3)
+    assert math.isclose(rho.norm(turned), 1.0) and np.allclose(turned @ np.array([7, 8, 0, 1, 0, 1.0]), [7, 8, math.sin(0.3), math.cos(0.3), math.sin(0.6), math.cos(0.6)])
+    assert rho.circulant([1, 2, 3]).tolist() == [[1, 3, 2], [2, 1, 3], [3, 2, 1]] and rho.lipschitz([3, 4]) == 5.0
+    a, b = rho.random_features(4000, 300.0, 1)
+    f = lambda p: math.sqrt(2 / 4000) * np.cos(a @ p + b)
+    assert math.isclose(f(np.array([0, 0])) @ f(np.array([200, 100])), math.exp(-(200**2 + 100**2) / (2 * 300**2)), abs_tol=0.06)
+    # the map fitted by Spark from codes and shifted codes is the analytic one
+    from pyspark.sql import functions as F
+
+    rows = plans.run("points", spark, "/root/testdata/sf0.001")
+    at = lambda s: [F.element_at(segments.code(v, geo.TORUS), k + 1) for v in (F.col("x") + s, F.col("y")) for k in range(8)]
+    assert fits.map_error(rows, at(0.0), at(100.0), rho.torus_rho(geo.TORUS, 100.0, 0.0)) < 1e-9
+    assert np.allclose(fits.orthogonal_map(rows, at(0.0), at(100.0)), rho.torus_rho(geo.TORUS, 100.0, 0.0), atol=1e-6)
