@@ -65,8 +65,10 @@ def snap_nodes(d):
 
 @step("trip_rows")
 def asked(d):
-    """The query set: every hundredth trip in the order of user and trip."""
-    return "SELECT uid, seg FROM (SELECT uid, seg, row_number() OVER (ORDER BY uid, seg) - 1 AS k FROM trip_rows) AS q WHERE k % 100 = 0"
+    """The query set: every hundredth trip in the order of user and trip, counted by blocks of 4,096 users and numbered within each."""
+    b = d.floor("uid/4096e0")
+    return f"""SELECT uid, seg FROM (SELECT t.uid, t.seg, c.before + row_number() OVER (PARTITION BY t.b ORDER BY t.uid, t.seg) - 1 AS k FROM (SELECT uid, seg, {b} AS b FROM trip_rows) AS t
+      JOIN (SELECT b, sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM (SELECT {b} AS b, count(*) AS n FROM trip_rows GROUP BY {b}) AS g) AS c ON t.b = c.b) AS q WHERE k % 100 = 0"""
 
 
 @step("trips")
