@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans
-from .operators import anomalies, audits, codebooks, fits, geo, graph, moves, rank, segments, sequential, stats, trips  # noqa: F401  they register their steps
+from .operators import anomalies, audits, codebooks, fits, geo, graph, moves, pairs, rank, segments, sequential, stats, trips  # noqa: F401  they register their steps
 from .streaming import sessions as streaming
 
 
@@ -17,10 +17,20 @@ def _stay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.stay_points(plans.run("points", spark, sf_dir))
 
 
+def _packed(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The query set and all trips, a row for each, with arrays of the columns of placed."""
+    trips = sequential._cut(pairs.packed(plans.run("placed", spark, sf_dir), *names))
+    return trips.join(F.broadcast(plans.run("asked", spark, sf_dir)), ["uid", "seg"]), trips
+
+
 def _sequence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.sequence_costs(plans.run("pair_costs", spark, sf_dir).select("u1", "s1", "u2", "s2", "i", "j", "c"))
 
 
+def _dita_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.dita_distance(*_packed(spark, sf_dir, "x", "y"))
+
+
 def _network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of every pair of vertices over the induced edges."""
     return sequential.shortest_paths(plans.run("induced_edges", spark, sf_dir), plans.run("network_vertices", spark, sf_dir))
@@ -114,7 +124,7 @@ def _session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(plans.run, name) for name in plans.names()}
-    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "network_paths": _network_paths, "network_trip_costs": _network_trip_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows, "trip_windows": _trip_windows, "label_overlap_join": _label_overlap_join, "kmeans_fit": _kmeans_fit, "ridge_probe": _ridge_probe, "procrustes_error": _procrustes_error, "gauge_defect": _gauge_defect, "paired_tests": _paired_tests}
+    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "network_paths": _network_paths, "network_trip_costs": _network_trip_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows, "trip_windows": _trip_windows, "label_overlap_join": _label_overlap_join, "kmeans_fit": _kmeans_fit, "ridge_probe": _ridge_probe, "procrustes_error": _procrustes_error, "gauge_defect": _gauge_defect, "paired_tests": _paired_tests, "dita_distance": _dita_distance}
 
 
 def oracle_sql() -> dict[str, str]:
