@@ -52,3 +52,25 @@ def test_dita(spark, made, monkeypatch):
     got = {tuple(r)[:4]: r["cost"] for r in pairs.dita_distance(asked(made), made[1]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
     assert unexploded(catalogue.queries()["dita_distance"](spark, SF))
+
+
+def recurrence(c, hit):
+    """LCS and edit distance by the plain recurrences."""
+    a, b = c.shape
+    lcs, erp, gap = np.zeros((a + 1, b + 1)), np.zeros((a + 1, b + 1)), c.mean()
+    erp[:, 0], erp[0] = np.arange(a + 1) * gap, np.arange(b + 1) * gap
+    for i in range(a):
+        for j in range(b):
+            lcs[i + 1, j + 1] = lcs[i, j] + 1 if c[i, j] <= hit else max(lcs[i, j + 1], lcs[i + 1, j])
+            erp[i + 1, j + 1] = min(erp[i, j] + c[i, j], erp[i, j + 1] + gap, erp[i + 1, j] + gap)
+    return 1 - lcs[a, b] / min(a, b), erp[a, b] / (a + b)
+
+
+@pytest.mark.parametrize("held", [1 << 22, 10])
+def test_sequence_costs(spark, made, monkeypatch, held):
+    monkeypatch.setattr(pairs, "BLOCK", (5, 60))
+    monkeypatch.setattr(pairs, "HELD", held)
+    want = brute(made[0], lambda p, q: recurrence(grid(p, q), 120.0))
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in pairs.sequence_costs(asked(made), made[1], 120.0).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    assert unexploded(catalogue.queries()["sequence_costs"](spark, SF))

@@ -24,7 +24,7 @@ def _packed(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, D
 
 
 def _sequence_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.sequence_costs(plans.run("pair_costs", spark, sf_dir).select("u1", "s1", "u2", "s2", "i", "j", "c"))
+    return pairs.sequence_costs(*_packed(spark, sf_dir, "x", "y"))
 
 
 def _dita_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

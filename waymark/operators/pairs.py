@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .sequential import _cut
 
-#: Trips and points of a block, of a block of the query set; values in the wide column of a block; rows of a batch of results; grid cells held at once; MB of query blocks that are broadcast.
-BLOCK, ASKED, WIDE, BATCH, HELD, SENT_MB = (2048, 16384), (128, 4096), 1 << 18, 1 << 16, 1 << 22, 64
+#: Trips and points of a block, of a block of the query set; values in the wide column of a block; rows of a batch of results; grid cells held at once; MB of query blocks that are broadcast; values that are counted one by one.
+BLOCK, ASKED, WIDE, BATCH, HELD, SENT_MB, FEW = (2048, 16384), (128, 4096), 1 << 18, 1 << 16, 1 << 22, 64, 1 << 16
 KEYS = ["u1", "s1", "u2", "s2"]
 
 
@@ -177,3 +177,41 @@ def dita_distance(queries: DataFrame, trips: DataFrame) -> DataFrame:
     """u1, s1, u2, s2, cost of packed trips with x and y."""
     names = ["x", "y"]
     return over(meeting(queries, trips.where("uid is not null"), names), names, *distances(dita, ["cost"]))
+
+
+def recurrences(cost: Callable[[int], np.ndarray], a: int, b: Block, hit_m: float, gap_m: float | None) -> list[np.ndarray]:
+    """1 - LCS / min length and the edit distance with real penalties, of a trip of a points and each of the block; cost(i) has the costs of point i by place and trip."""
+    wide, many = b.padded().shape
+    if a * wide * many <= HELD:
+        cost = [cost(i) for i in range(a)].__getitem__
+    if gap_m is None:
+        inside = np.arange(wide)[:, None] < b.n
+        gap = sum(np.where(inside, cost(i), 0.0).sum(0) for i in range(a)) / (a * b.n)
+    else:
+        gap = np.full(many, gap_m)
+    lcs, erp = np.zeros((wide + 1, many), np.int32), np.arange(wide + 1)[:, None] * gap
+    for i in range(a):
+        c = cost(i)
+        np.maximum.accumulate(np.where(c <= hit_m, lcs[:-1] + 1, lcs[1:]), axis=0, out=lcs[1:])
+        least = np.minimum(erp[:-1] + c, erp[1:] + gap)
+        erp[0] = (i + 1) * gap
+        for j in range(wide):
+            np.minimum(least[j], erp[j] + gap, out=erp[j + 1])
+    at = (b.n, np.arange(many))
+    return [np.round(1 - lcs[at] / np.minimum(a, b.n), 6), np.round(erp[at] / (a + b.n), 4)]
+
+
+def sequence_costs(queries: DataFrame, trips: DataFrame, hit_m: float = 200.0, gap_m: float | None = None) -> DataFrame:
+    """u1, s1, u2, s2, lcrs, neterp of packed trips with x and y, as sequential.sequence_costs has them."""
+    names = ["x", "y"]
+
+    def kernel(q: Block, k: int, b: Block) -> list[np.ndarray]:
+        p, x, y = q.trip(k), b.of["x"][b.padded()], b.of["y"][b.padded()]
+
+        def cost(i: int) -> np.ndarray:
+            dx, dy = x - p["x"][i], y - p["y"][i]
+            return np.sqrt(dx * dx + dy * dy)
+
+        return recurrences(cost, int(q.n[k]), b, hit_m, gap_m)
+
+    return over(meeting(queries, trips, names), names, *distances(kernel, ["lcrs", "neterp"]))
