@@ -74,3 +74,25 @@ def test_sequence_costs(spark, made, monkeypatch, held):
     got = {tuple(r)[:4]: tuple(r)[4:] for r in pairs.sequence_costs(asked(made), made[1], 120.0).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
     assert unexploded(catalogue.queries()["sequence_costs"](spark, SF))
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_blended_truth(spark, made, monkeypatch, few):
+    """The bounds are the exact order statistics, however many values are left to count one by one."""
+    monkeypatch.setattr(pairs, "BLOCK", (5, 60))
+    monkeypatch.setattr(pairs, "FEW", few)
+
+    def means(p, q):
+        m = min(len(p[0]), len(q[0]))
+        i, j = (np.linspace(0, len(z[0]) - 1, m).astype(int) for z in (p, q))
+        return np.hypot(p[0][i] - q[0][j], p[1][i] - q[1][j]).mean(), np.abs(p[2][i] - q[2][j]).mean()
+
+    raw = brute(made[0], means)
+    scaled = [np.clip((v - v.min()) / (np.percentile(v, 99) - v.min()), 0, 1) for v in np.array(list(raw.values())).T]
+    want = dict(zip(raw, (scaled[0] + scaled[1]) / 2))
+    got = {tuple(r)[:4]: r["cost"] for r in pairs.blended_truth(asked(made), made[1]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_blended_truth_is_unexploded(spark):
+    assert unexploded(catalogue.queries()["blended_truth"](spark, SF))

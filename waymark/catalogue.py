@@ -31,6 +31,10 @@ def _dita_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.dita_distance(*_packed(spark, sf_dir, "x", "y"))
 
 
+def _blended_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.blended_truth(*_packed(spark, sf_dir, "x", "y", "t"))
+
+
 def _network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of every pair of vertices over the induced edges."""
     return sequential.shortest_paths(plans.run("induced_edges", spark, sf_dir), plans.run("network_vertices", spark, sf_dir))
@@ -124,7 +128,7 @@ def _session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(plans.run, name) for name in plans.names()}
-    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "network_paths": _network_paths, "network_trip_costs": _network_trip_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows, "trip_windows": _trip_windows, "label_overlap_join": _label_overlap_join, "kmeans_fit": _kmeans_fit, "ridge_probe": _ridge_probe, "procrustes_error": _procrustes_error, "gauge_defect": _gauge_defect, "paired_tests": _paired_tests, "dita_distance": _dita_distance}
+    return found | {"stay_points": _stay_points, "sequence_costs": _sequence_costs, "network_paths": _network_paths, "network_trip_costs": _network_trip_costs, "synthetic_corpus": _synthetic, "geometric_median": _geometric_median, "session_windows": _session_windows, "trip_windows": _trip_windows, "label_overlap_join": _label_overlap_join, "kmeans_fit": _kmeans_fit, "ridge_probe": _ridge_probe, "procrustes_error": _procrustes_error, "gauge_defect": _gauge_defect, "paired_tests": _paired_tests, "dita_distance": _dita_distance, "blended_truth": _blended_truth}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -215,3 +215,85 @@ def sequence_costs(queries: DataFrame, trips: DataFrame, hit_m: float = 200.0, g
         return recurrences(cost, int(q.n[k]), b, hit_m, gap_m)
 
     return over(meeting(queries, trips, names), names, *distances(kernel, ["lcrs", "neterp"]))
+
+
+def aligned_means(q: Block, k: int, b: Block) -> list[np.ndarray]:
+    """The mean distance and the mean hours apart of index-aligned points, NaN where unknown."""
+    p, (i, j, start, m) = q.trip(k), b.aligned(int(q.n[k]))
+    dx, dy, h = p["x"][i] - b.of["x"][j], p["y"][i] - b.of["y"][j], np.abs(p["t"][i] - b.of["t"][j])
+    known = ~np.isnan(h)
+    if not known.all():
+        with np.errstate(invalid="ignore"):
+            h = np.add.reduceat(np.where(known, h, 0.0), start) / np.add.reduceat(known.astype(np.int64), start)
+    else:
+        h = np.add.reduceat(h, start) / m
+    return [np.add.reduceat(np.sqrt(dx * dx + dy * dy), start) / m, h]
+
+
+def order_statistics(met: DataFrame, names: list[str], kernel: Callable, kinds: int, p: float) -> list[tuple[float, float]]:
+    """The least of each of the values of kernel over all pairs, and their exact percentile p, interpolated.
+
+    The bits of the values are counted, sixteen at a time, under the bits already known, and the rest at once where
+    FEW values are left; so no more than that many, or 65,536 counts, are held for each bound.
+    """
+    found: list[list[int]] = [[] for _ in range(kinds)]  # bits known of the least value and of those around the percentile
+    left: list[list[int]] = [[] for _ in range(kinds)]  # their ranks among the values with those bits
+    share, known, most = [0.0] * kinds, 63, FEW + 1  # the sign is known
+    while known:
+        shift = 0 if most <= FEW else max(0, known - 16 if known < 63 else 48)
+        wanted = [sorted({*x}) if known < 63 else [0] for x in found]
+
+        def task(met, known=known, shift=shift, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            size = 1 << (known - shift)
+            counts = {(z, x): np.zeros(size if known - shift <= 16 else 0, np.int64) for z in range(kinds) for x in wanted[z]}
+            single: dict[tuple[int, int], list[np.ndarray]] = {k: [] for k in counts}
+            for q, b in met:
+                held = [[x[keep] for x in kernel(q, k, b)] for k in range(len(q.n)) for keep in (_others(q, k, b),)]
+                for z in range(kinds):
+                    values = np.concatenate([x[z] for x in held])
+                    bits = values[~np.isnan(values)].view(np.int64)
+                    for x in wanted[z]:
+                        here = (bits[bits >> known == x] >> shift) & (size - 1)
+                        if known - shift <= 16:
+                            counts[z, x] += np.bincount(here, minlength=size)
+                        elif len(here):
+                            single[z, x].append(here)
+            rows = [(z, x, int(key), int(n[key])) for (z, x), n in counts.items() for key in np.flatnonzero(n)]
+            rows += [(*k, int(key), int(n)) for k, v in single.items() if v for key, n in zip(*np.unique(np.concatenate(v), return_counts=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 4)], names=["z", "x", "key", "n"])
+
+        counted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in over(met, names, task, "z long, x long, key long, n long").groupBy("z", "x", "key").agg(F.sum("n").alias("n")).orderBy("z", "x", "key").collect():
+            counted.setdefault((r["z"], r["x"]), []).append((r["key"], r["n"]))
+        most = 0
+        for z in range(kinds):
+            if known == 63:
+                total = sum(n for _, n in counted.get((z, 0), []))
+                at = (total - 1) * p
+                found[z], left[z], share[z] = ([0] * 3, [0, int(at), min(int(at) + 1, total - 1)], at - int(at)) if total else ([], [], 0.0)
+            for k, x in enumerate(found[z]):
+                for key, n in counted[z, x]:
+                    if left[z][k] < n:
+                        found[z][k], most = x << (known - shift) | key, max(most, n)
+                        break
+                    left[z][k] -= n
+        known = shift
+    out = []
+    for x, f in zip(found, share):
+        least, low, high = np.array(x, np.int64).view(np.float64).tolist() if x else [float("nan")] * 3
+        out.append((least, low if low == high else (1 - f) * low + f * high))
+    return out
+
+
+def blended_truth(queries: DataFrame, trips: DataFrame) -> DataFrame:
+    """u1, s1, u2, s2, cost of packed trips with x, y and t: half spatial, half temporal, each scaled from its minimum to its 99th percentile over all pairs."""
+    names = ["x", "y", "t"]
+    met = meeting(queries, trips, names)
+    (s0, s9), (h0, h9) = order_statistics(met, names, aligned_means, 2, 0.99)
+
+    def kernel(q: Block, k: int, b: Block) -> list[np.ndarray]:
+        s, h = aligned_means(q, k, b)
+        s, h = (np.fmin(np.fmax((v - lo) / max(hi - lo, 1e-9), 0.0), 1.0) for v, lo, hi in ((s, s0, s9), (h, h0, h9)))
+        return [rounded(0.5 * s + 0.5 * h, 6)]
+
+    return over(met, names, *distances(kernel, ["cost"]))
