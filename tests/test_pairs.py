@@ -96,3 +96,23 @@ def test_blended_truth(spark, made, monkeypatch, few):
 
 def test_blended_truth_is_unexploded(spark):
     assert unexploded(catalogue.queries()["blended_truth"](spark, SF))
+
+
+def test_network_costs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", (5, 60))
+    monkeypatch.setattr(pairs, "WIDE", 100)
+    rng = np.random.default_rng(6)
+    table = rng.integers(0, 50, (9, 9)).astype(float)
+    rows = [(k // 2, k % 2, rng.integers(0, 9, n).tolist()) for k, n in enumerate(rng.integers(1, 9, 30).tolist())]
+    trips = spark.createDataFrame(rows, "uid long, seg long, id array<long>")
+    queries = spark.createDataFrame([(*r, table[r[2]].ravel().tolist()) for r in rows[::4]], "uid long, seg long, id array<long>, row array<double>")
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in pairs.network_costs(queries, trips).collect()}
+    assert len(got) == len(rows[::4]) * (len(rows) - 1)
+    for u, s, p in rows[::4]:
+        for v, r, q in rows:
+            if (u, s) != (v, r):
+                c = table[np.ix_(p, q)]
+                m = min(c.shape)
+                i, j = (np.linspace(0, n - 1, m).astype(int) for n in c.shape)
+                assert np.allclose(got[u, s, v, r], (*recurrence(c, 1.0), c[i, j].mean(), (c.min(1).mean() + c.min(0).mean()) / 2), atol=1e-4)
+    assert unexploded(catalogue.queries()["network_trip_costs"](spark, SF))

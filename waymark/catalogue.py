@@ -42,11 +42,10 @@ def _network_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _network_trip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four distances of each trip of the query set to all others over network costs: points are shared at the same vertex, and a gap costs a pair's mean."""
-    paths, b, k = _network_paths(spark, sf_dir), plans.run("passed", spark, sf_dir), plans.run("asked", spark, sf_dir)
-    a = b.join(F.broadcast(k), ["uid", "seg"]).select(F.col("uid").alias("u1"), F.col("seg").alias("s1"), "i", F.col("id").alias("src"))
-    b = b.select(F.col("uid").alias("u2"), F.col("seg").alias("s2"), F.col("i").alias("j"), F.col("id").alias("dst"))
-    cells = a.join(paths, "src").join(b, "dst").where("u1 <> u2 OR s1 <> s2").select("u1", "s1", "u2", "s2", "i", "j", F.col("cost").alias("c"))
-    return sequential.sequence_costs(cells, hit_m=1.0, aligned=True)
+    paths, b, k = _network_paths(spark, sf_dir), sequential._cut(plans.run("passed", spark, sf_dir)), plans.run("asked", spark, sf_dir)
+    rows = paths.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "cost"))).alias("p")).select(F.col("src").alias("id"), F.col("p.cost").alias("row"))
+    asked = pairs.packed(b.join(F.broadcast(k), ["uid", "seg"]).join(rows, "id"), "id", "row")
+    return pairs.network_costs(asked.withColumn("row", F.flatten("row")), pairs.packed(b, "id"))
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,25 @@ def sequence_costs(queries: DataFrame, trips: DataFrame, hit_m: float = 200.0, g
     return over(meeting(queries, trips, names), names, *distances(kernel, ["lcrs", "neterp"]))
 
 
+def network_costs(queries: DataFrame, trips: DataFrame, hit_m: float = 1.0) -> DataFrame:
+    """u1, s1, u2, s2, lcrs, neterp, tp, dita of packed trips with id; queries also have `row`, the costs from each of their points to every vertex by id."""
+
+    def kernel(q: Block, k: int, b: Block) -> list[np.ndarray]:
+        table, ids, a = q.rows_of(k), b.of["id"], int(q.n[k])
+        pad = ids[b.padded()]
+        i, j, start, m = b.aligned(a)
+        low, rows = np.full(len(ids), np.inf), np.zeros(len(b.n))
+        for r in table:
+            c = r[ids]
+            np.minimum(low, c, out=low)
+            rows += np.minimum.reduceat(c, b.start)
+        tp = np.add.reduceat(table[i, ids[j]], start) / m
+        dita = (rows / a + np.add.reduceat(low, b.start) / b.n) / 2
+        return [*recurrences(lambda i: table[i][pad], a, b, hit_m, None), np.round(tp, 4), np.round(dita, 4)]
+
+    return over(meeting(queries, trips, ["id"], "row"), ["id"], *distances(kernel, ["lcrs", "neterp", "tp", "dita"]), "row")
+
+
 def aligned_means(q: Block, k: int, b: Block) -> list[np.ndarray]:
     """The mean distance and the mean hours apart of index-aligned points, NaN where unknown."""
     p, (i, j, start, m) = q.trip(k), b.aligned(int(q.n[k]))
